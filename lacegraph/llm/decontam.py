@@ -56,12 +56,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         known = known.unionByName(_seeds(items.where(F.size("b") == len(mask)), "item", "b", {number: mask}))
     known = cut(known.select("item", F.col("pos").alias("at"), "seed"))
     n = known.count()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), word_hashes(F.col(text_col).cast("string")).alias("d")).where("d is not null and doc is not null")
-    found = _seeds(texts, "doc", "d", spaced | whole).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).where("t is not null and doc is not null")
+    hashed = lambda df: df.select("doc", word_hashes(F.col("t")).alias("d"))
+    found = _seeds(hashed(texts), "doc", "d", spaced | whole).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
     hits = cut(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("off")).distinct())
     m = hits.count()
     near = hits.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 10 else items, "item")
-    pairs = texts.join(F.broadcast(near) if m <= HIT_ROWS else near, "doc")
+    hit = hits.select("doc").distinct()
+    pairs = hashed(texts.join(F.broadcast(hit) if m <= HIT_ROWS else hit, "doc", "left_semi"))  # only texts with a hit are hashed again
+    pairs = pairs.join(F.broadcast(near) if m <= HIT_ROWS else near, "doc")
     first, end = F.greatest(F.lit(0), -F.col("off")), F.least(F.size("b"), F.size("d") - F.col("off"))
     same = F.transform(F.sequence(F.col("first"), F.col("end") - 1), lambda i: F.when(F.get(F.col("d"), i + F.col("off")) == F.get(F.col("b"), i), 1).otherwise(0))
     pairs = pairs.select("doc", "item", "off", "b", "d", first.alias("first"), end.alias("end")).withColumn("w", F.least(F.lit(window), F.size("b"))).where("end - first >= w").withColumn("same", same).select("doc", "item", "same", "w")
