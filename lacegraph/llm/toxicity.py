@@ -35,7 +35,7 @@ class Params:
     sample_rows: int = 12_000
     #: At most so many features stay, those with the largest z.
     features: int = 20_000
-    beginnings: tuple[int, ...] = (3, 4, 5, 6)
+    beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     prior: float = 50.0
     least_docs: int = 5
     least_z: float = 3.0
