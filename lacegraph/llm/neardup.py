@@ -1,6 +1,6 @@
 """MinHash near-duplicates with odd sketches.
 
-One Arrow pass makes, of each text's distinct word shingles, 256 MinHash samples, the keys of 32 bands of four samples,
+One Arrow pass makes, of each text's distinct word shingles, 512 MinHash samples, the keys of 32 bands of four samples,
 and the odd sketch: a 1024-bit parity bitmap into which every sample is folded. The XOR population count of two odd
 sketches estimates a high similarity precisely, so most banded candidates fall without a look at their texts; those that
 stay are confirmed on the full shingle sets.
@@ -10,7 +10,8 @@ member is first compared with the bucket's hub, the member that shares most buck
 that still hold several components are searched for pairs of different components, best estimates first, and a pair is
 emitted in the first band that it shares only.
 
-A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8; its estimate falls below ``LEAST`` with about 4e-5.
+A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8; its estimate, of standard deviation 0.02,
+falls below ``LEAST`` with about 3e-4 and below ``HUB_LEAST`` never.
 
 Defined results: null and empty texts (and texts of white space) have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share an id are one document; A-Z only are lower-cased.
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Scratch, cut, map_arrow
 from .components import components
 
-SAMPLES, BANDS, BAND_ROWS, BITS = 256, 32, 4, 1024
+SAMPLES, BANDS, BAND_ROWS, BITS = 512, 32, 4, 1024
 #: Estimated similarity from which a candidate is confirmed: loosely for hubs, in two steps for other pairs.
-HUB_LEAST, STEPS = 0.6, ((0.8, 1.0), (0.7, 0.8))
+HUB_LEAST, STEPS = 0.6, ((0.8, 1.0), (0.73, 0.8))
 LEAST = STEPS[-1][0]
 BROADCAST_ROWS = 500_000
 _WORDS_KEPT = 200_000
