@@ -1,6 +1,295 @@
-def queries():
-    return {}
+"""One query for each operator over the driver's tables, and the same in SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..config import Options
+from ..functions import scalar
+from ..operators import chain, coverage, graph, ordered, seeds, simplify, sketch
+from ..sources import fasta, gfa
+from . import oracles, pipeline
+from .inputs import ARCS, HITS, INNER_SUBS, LENGTHS, LOOSE_ARCS, READS, SEEDS, SUBS, load
+
+#: Short documents need short spans.
+SMALL = Options(min_span=200, min_match=60, min_overlap=200, max_hang=300)
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return fasta.reads_from_documents(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _minis(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.minimizers(_reads(spark, d))
+
+
+def fasta_reads(spark, d):
+    docs = _reads(spark, d)
+    lines = ordered.ordinal(docs, "read_id", "n").select("n", F.posexplode(F.array(F.concat(F.lit(">"), "header"), "seq")).alias("at", "value"))
+    return fasta.records(lines.select((F.col("n") * 2 + F.col("at")).alias("line_no"), "value"))
+
+
+def read_prefix_offsets(spark, d):
+    return fasta.with_offsets(_reads(spark, d)).select("read_id", "len", "cum_off")
+
+
+def block_packing(spark, d):
+    return ordered.pack_blocks(_reads(spark, d), 1 << 16)
+
+
+def nt4_encode(spark, d):
+    reads = load(spark, d, READS).select(F.explode(F.split("seq", "")).alias("base"))
+    return reads.where("base <> ''").groupBy(scalar.base_code(F.col("base")).alias("code")).agg(F.count("*").alias("n"))
+
+
+def kmer_canonical(spark, d):
+    """The first k-mer of each read that starts with unambiguous bases."""
+    reads = load(spark, d, READS).where(F.col("seq").rlike("^[acgt]{15}"))
+    codes = F.transform(F.split(F.substring("seq", 1, 15), ""), lambda c: scalar.base_code(c).cast("long"))
+    rows = reads.select("read_id", codes.alias("codes"))
+    rows = rows.select("read_id", scalar.kmer_value(F.col("codes"), F.lit(0), 15).alias("forward"), scalar.reverse_kmer_value(F.col("codes"), F.lit(0), 15).alias("reverse"))
+    value, strand = scalar.canonical(F.col("forward"), F.col("reverse"))
+    return rows.select("read_id", "forward", "reverse", value.alias("value"), strand.alias("strand")).where("forward <> reverse")
+
+
+def hash64_mix(spark, d):
+    rows = load(spark, d, "SELECT DISTINCT l_partkey * 7919 + l_suppkey AS x FROM {lineitem}").select((F.col("x") % (1 << 30)).alias("x")).distinct()
+    return rows.select("x", scalar.hash64(F.col("x"), 15).alias("h"))
+
+
+def hash32_mix(spark, d):
+    rows = load(spark, d, "SELECT DISTINCT l_orderkey AS x FROM {lineitem}")
+    return rows.select("x", scalar.hash32(F.col("x")).alias("h"))
+
+
+def pack_unpack(spark, d):
+    rows = load(spark, d, "SELECT DISTINCT l_orderkey AS high, l_partkey AS low FROM {lineitem}").select("high", "low", scalar.pack(F.col("high"), F.col("low"), 32).alias("packed"))
+    high, low = scalar.unpack(F.col("packed"), 32)
+    return rows.select("high", "low", "packed", high.alias("high_again"), low.alias("low_again"))
+
+
+def minimizers(spark, d):
+    return _minis(spark, d)
+
+
+def index_postings(spark, d):
+    return seeds.postings(_minis(spark, d)).where("occ > 1").select("hash", "occ", F.element_at("places", 1)["read_id"].alias("first_read"), F.element_at("places", -1)["read_id"].alias("last_read"), F.size("places").cast("long").alias("n_places"))
+
+
+def index_key_stats(spark, d):
+    return seeds.key_stats(_minis(spark, d))
+
+
+def occ_quantile(spark, d):
+    return seeds.occurrence_cap(seeds.occurrences(_minis(spark, d)))
+
+
+def offset_asof_join(spark, d):
+    reads = fasta.with_offsets(_reads(spark, d)).select("read_id", "len", "cum_off")
+    points = load(spark, d, "SELECT DISTINCT (l_orderkey * 31 + l_partkey * 17) % 3000000 + 1 AS gpos FROM {lineitem}")
+    return ordered.offset_join(points, reads).select("gpos", "read_id", "pos")
+
+
+def seed_join(spark, d):
+    return seeds.seeds(_minis(spark, d)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos")
+
+
+def shared_minimizers(spark, d):
+    return seeds.pair_counts(seeds.seeds(_minis(spark, d)))
+
+
+def seed_diagonal(spark, d):
+    rows = load(spark, d, SEEDS)
+    return rows.select("qid", "tid", "rev", "qpos", "rpos", scalar.diagonal(~F.col("rev"), F.col("qpos"), F.col("rpos")).alias("diag"))
+
+
+def seed_clusters(spark, d):
+    return chain.clusters(load(spark, d, SEEDS)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos", "cluster")
+
+
+def lis_chain(spark, d):
+    return chain.regions(chain.clusters(load(spark, d, SEEDS)))
+
+
+def chain_gap_split(spark, d):
+    """Gaps of sorted seeds beyond 1000 on both axes, as the chains are split."""
+    rows = load(spark, d, SEEDS).groupBy("qid", "tid", "rev", "qpos").agg(F.min("rpos").alias("rpos"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("qid", "tid", "rev").orderBy("qpos")
+    gap = (F.col("qpos") - F.lag("qpos").over(w) > 1000) & (F.abs(F.col("rpos") - F.lag("rpos").over(w)) > 1000)
+    parts = rows.withColumn("part", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w).cast("long"))
+    return parts.groupBy("qid", "tid", "rev", "part").agg(F.count("*").alias("cnt"), F.min("qpos").alias("qs"), F.max("qpos").alias("qe"), F.min("rpos").alias("rs"), F.max("rpos").alias("re"))
+
+
+def interval_union_len(spark, d):
+    """Length of the union of 15-wide intervals that end at the seeds of a pair."""
+    from ..operators.grouped import map_groups
+
+    rows = load(spark, d, SEEDS).select("qid", "tid", "rev", "qpos")
+    one = lambda g: {"qid": [int(g["qid"][0])], "tid": [int(g["tid"][0])], "rev": [bool(g["rev"][0])], "total": [chain.union_length(g["qpos"], 15)]}
+    return map_groups(rows, ["qid", "tid", "rev"], ["qpos"], one, "qid long, tid long, rev boolean, total long", ["qid", "tid", "rev", "total"])
+
+
+def hits_filtered(spark, d):
+    rows = load(spark, d, HITS)
+    regions = rows.select("qid", "tid", "rev", F.lit(5).alias("cnt"), F.col("ml").alias("len"), "qs", "qe", F.col("ts").alias("rs"), F.col("te").alias("re"))
+    return chain.filter_regions(regions)
+
+
+def hits_mirrored(spark, d):
+    return chain.mirror(load(spark, d, HITS))
+
+
+def all_hits(spark, d):
+    """Documents to hits: the whole first phase."""
+    return pipeline.align(_reads(spark, d), SMALL)
+
+
+def depth_regions(spark, d):
+    return coverage.depth_regions(load(spark, d, HITS))
+
+
+def depth_regions_clipped(spark, d):
+    return coverage.depth_regions(load(spark, d, HITS), 1000)
+
+
+def mean_depth(spark, d):
+    return coverage.mean_depth(load(spark, d, HITS))
+
+
+def hit_cut(spark, d):
+    return coverage.cut_hits(load(spark, d, HITS), load(spark, d, SUBS))
+
+
+def sub_merge(spark, d):
+    return coverage.compose(load(spark, d, SUBS), load(spark, d, INNER_SUBS))
+
+
+def hit_filter_relaxed(spark, d):
+    return coverage.relaxed(load(spark, d, HITS), load(spark, d, LENGTHS))
+
+
+def overlap_class(spark, d):
+    return coverage.classified(load(spark, d, HITS), load(spark, d, LENGTHS), 1000, 0.8, 2000)
+
+
+def contained_reads(spark, d):
+    return coverage.contained(load(spark, d, HITS).where("ml % 37 = 0"), load(spark, d, LENGTHS))
+
+
+def used_reads(spark, d):
+    return coverage.used(load(spark, d, HITS).where("bl % 50 = 3"))
+
+
+def survivor_renumber(spark, d):
+    hits, lengths = load(spark, d, HITS), load(spark, d, LENGTHS)
+    gone = coverage.contained(hits.where("ml % 37 = 0"), lengths)
+    return coverage.renumber(hits, coverage.survivors(lengths, hits, gone))
+
+
+def string_graph_arcs(spark, d):
+    return graph.arcs(load(spark, d, HITS).where("ml % 11 = 0"), load(spark, d, LENGTHS))
+
+
+def arc_multi_dedupe(spark, d):
+    return graph.first_of_parallel(load(spark, d, LOOSE_ARCS))
+
+
+def arc_symmetric(spark, d):
+    return graph.symmetrised(load(spark, d, LOOSE_ARCS))
+
+
+def transitive_reduction(spark, d):
+    return graph.transitive(load(spark, d, ARCS), 1000)
+
+
+def reduced_graph(spark, d):
+    return graph.reduced(load(spark, d, ARCS), 1000)
+
+
+def short_overlap_drop(spark, d):
+    return graph.without_short(load(spark, d, ARCS), 0.8)
+
+
+def vertex_end_type(spark, d):
+    return graph.end_types(load(spark, d, ARCS))
+
+
+def _pass(*passes):
+    return lambda spark, d: simplify.each_component(load(spark, d, ARCS), *passes)
+
+
+def _unitigs(spark, d):
+    arcs = load(spark, d, ARCS)
+    lengths = arcs.select(F.shiftright("u", 1).alias("read_id")).distinct().select("read_id", F.lit(12000).alias("len"))
+    return arcs, lengths, simplify.unitigs(arcs, lengths)
+
+
+def unitigs(spark, d):
+    found = _unitigs(spark, d)[2]
+    return found.select("utg_id", "len", "circ", "start", "end", F.size("reads").cast("long").alias("n_reads"), F.transform("reads", lambda r: r["vertex"]).cast("string").alias("vertices"))
+
+
+def unitig_links(spark, d):
+    arcs, _, found = _unitigs(spark, d)
+    return simplify.unitig_links(arcs, found)
+
+
+def gfa_lines(spark, d):
+    arcs, lengths, found = _unitigs(spark, d)
+    from ..session import cut
+
+    found = cut(found)
+    return gfa.lines(found, simplify.unitig_links(arcs, found), lengths.select("read_id", F.lit(0).alias("s"), F.col("len").alias("e"))).select("line")
+
+
+def simplified_graph(spark, d):
+    return simplify.simplify(load(spark, d, ARCS))
+
+
+def assembly_lines(spark, d):
+    """Documents to the lines of the graph: both phases."""
+    return pipeline.assemble(pipeline.align(_reads(spark, d), SMALL), SMALL).lines.select("line")
+
+
+def partition_histogram(spark, d):
+    return ordered.partition_histogram(load(spark, d, "SELECT l_orderkey AS qid FROM {lineitem}"), "qid", 3, 256)
+
+
+def run_length(spark, d):
+    rows = load(spark, d, "SELECT l_partkey, l_orderkey, l_linenumber, l_returnflag FROM {lineitem}")
+    return ordered.runs(rows, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_returnflag"], "l_returnflag")
+
+
+def list_union(spark, d):
+    a, b = (load(spark, d, f"SELECT l_orderkey AS id FROM {{lineitem}} WHERE l_linenumber = {n}") for n in (1, 2))
+    return a.unionByName(b)
+
+
+def id_set_union(spark, d):
+    return list_union(spark, d).distinct()
+
+
+def id_set_difference(spark, d):
+    a, b = (load(spark, d, f"SELECT DISTINCT l_partkey AS id FROM {{lineitem}} WHERE l_linenumber = {n}") for n in (1, 5))
+    return a.join(b, "id", "left_anti")
+
+
+tip_cut, bubble_pop, internal_cut, biloop_cut = _pass(("tip", 4)), _pass(("bubble", 50000)), _pass(("internal", 1)), _pass(("biloop", 4))
+
+NAMES = (
+    "shared_minimizers", "fasta_reads", "read_prefix_offsets", "block_packing", "nt4_encode", "kmer_canonical", "hash64_mix", "hash32_mix", "pack_unpack", "minimizers", "index_postings",
+    "index_key_stats", "occ_quantile", "offset_asof_join", "seed_join", "seed_diagonal", "seed_clusters", "lis_chain", "chain_gap_split", "interval_union_len", "hits_filtered", "hits_mirrored",
+    "all_hits", "depth_regions", "depth_regions_clipped", "mean_depth", "hit_cut", "sub_merge", "hit_filter_relaxed", "overlap_class", "contained_reads", "used_reads", "survivor_renumber",
+    "string_graph_arcs", "arc_multi_dedupe", "arc_symmetric", "transitive_reduction", "reduced_graph", "short_overlap_drop", "vertex_end_type", "tip_cut", "bubble_pop", "internal_cut",
+    "biloop_cut", "unitigs", "unitig_links", "gfa_lines", "simplified_graph", "assembly_lines", "partition_histogram", "run_length", "list_union", "id_set_union", "id_set_difference",
+)
+
+
+def queries() -> dict:
+    return {n: globals()[n] for n in NAMES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.sql()
