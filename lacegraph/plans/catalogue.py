@@ -248,9 +248,18 @@ def simplified_graph(spark, d):
     return simplify.simplify(load(spark, d, ARCS))
 
 
+def _windows(spark, d):
+    """Overlapping reads of 800 letters, every 200, of each document; the last one ends with it."""
+    docs = _reads(spark, d).where("len >= 800")
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("len") - 800, F.lit(200)), F.array(F.col("len") - 800)))
+    rows = docs.select("read_id", "seq", F.posexplode(starts).alias("i", "at"))
+    return rows.select((F.col("read_id") * 4096 + F.col("i")).alias("read_id"), F.expr("substring(seq, at + 1, 800)").alias("seq"))
+
+
 def assembly_lines(spark, d):
-    """Documents to the lines of the graph: both phases."""
-    return pipeline.assemble(pipeline.align(_reads(spark, d), SMALL), SMALL).lines.select("line")
+    """Windows of documents to the lines of their graph: both phases."""
+    o = SMALL.but(max_hang=100, gap_fuzz=100, min_depth=2)
+    return pipeline.assemble(pipeline.align(_windows(spark, d), o), o).lines.select("line")
 
 
 def partition_histogram(spark, d):
