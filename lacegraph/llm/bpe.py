@@ -5,6 +5,9 @@ that occurs in it in one pass. Encoding walks left to right with the longest mat
 when two neighbours could not stand beside each other in a merged result. Whether they can is decided by undoing
 merges across the seam, and is memoised; so the exact merges come out in time linear in the length.
 
+A text is cut at spaces first, wherever the pattern must start a new match, and the ids of words and of pre-tokens are
+kept in tables of bounded size, so that a common word costs one look-up.
+
 Defined results: null and empty texts have no tokens; ids decode to the same UTF-8 bytes; equal rows give equal results;
 other columns are ignored.
 """
@@ -12,6 +15,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import lists_of, map_arrow
 
-#: Entries that a worker keeps of encoded pre-tokens and of pairs; the tables start anew beyond.
-PIECES, PAIRS = 300_000, 1_000_000
+#: Entries that a worker keeps of words and of other pre-tokens (two generations of so many each) and of pairs.
+WORDS, PIECES, PAIRS = 300_000, 100_000, 1_000_000
+#: A space between white space on both sides, or after one at the end, belongs to a longer match.
+_JOINED = re.compile(r"\s (?:\s|\Z)")
+
+
+class Recent(dict):
+    """A dictionary that makes missing values; it keeps the last two generations of ``most`` entries."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,10 +65,15 @@ class Codec:
             self.bytes_of[rank] = token
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
+        self.size = list(map(len, self.bytes_of))
+        #: For each token the longest token that is a proper prefix (-1: none, -2: not looked up yet).
+        self.shorter = [-2] * len(self.size)
         self.halves: dict[int, tuple[int, int]] = {}
-        self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        pack = lambda ids: np.array(ids, np.int32).tobytes()
+        self.pieces = Recent(lambda piece: pack(self.encode_piece(piece.encode())), PIECES)
+        letters = self.split(" aé") == [" aé"]  # the pattern takes a space and letters together
+        self.words = Recent(lambda word: pack(self.encode_piece(f" {word}".encode())) if letters and word.isalpha() else b"".join([self.pieces[p] for p in self.split(" " + word)]), WORDS)
 
     def undo(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made this one; a single byte gives itself twice."""
@@ -61,12 +89,10 @@ class Codec:
         return got
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging would leave left and right as neighbours."""
-        key = (left, right)
-        if (got := self.fits.get(key)) is None:
-            if len(self.fits) > PAIRS:
-                self.fits.clear()
-            got = self.fits[key] = self._compatible(left, right)
+        """Whether merging would leave left and right as neighbours; memoised."""
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        got = self.fits[left << 20 | right] = self._compatible(left, right)
         return got
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -96,46 +122,45 @@ class Codec:
 
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix; -1 if none."""
-        if (got := self.shorter.get(token)) is None:
-            word = self.bytes_of[token]
-            got = self.shorter[token] = next((self.ranks[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.ranks), -1)
+        word = self.bytes_of[token]
+        got = self.shorter[token] = next((self.ranks[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.ranks), -1)
         return got
 
     def encode_piece(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        size = len(word)
+        size, sizes, fits, shorter = len(word), self.size, self.fits, self.shorter
         longest = [-1] * (size + 1)
         for end, (token, length) in self.automaton.iter(word.decode("latin-1")):
             longest[end + 1 - length] = token  # later ends are longer
-        open_at, out, at, token = bytearray(b"\1") * (size + 1), [], 0, longest[0]
+        closed, out, at, token, last = set(), [], 0, longest[0], -1
         while at < size:
-            last = out[-1] if out else -1
-            while True:
-                end = at + len(self.bytes_of[token])
-                if open_at[end] and (last < 0 or self.compatible(last, token)):
+            end = at + sizes[token]
+            if end not in closed:
+                if last < 0:
+                    fit = True
+                elif (fit := fits.get(last << 20 | token)) is None:
+                    fit = self.compatible(last, token)
+                if fit:
                     out.append(token)
-                    at, token = end, longest[end]
-                    break
-                if (token := self.prefix(token)) < 0:
-                    open_at[at] = 0
-                    token = out.pop()
-                    at -= len(self.bytes_of[token])
-                    # the popped token's end is closed now, so a shorter one is tried
-                    break
+                    at, last, token = end, token, longest[end]
+                    continue
+            then = shorter[token]
+            token = self.prefix(token) if then == -2 else then
+            if token < 0:  # nothing fits here: close the place, so that the token before is tried shorter
+                closed.add(at)
+                token = out.pop()
+                at -= sizes[token]
+                last = out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        pieces, known = self.split(text), self.pieces
-        if len(known) > PIECES:
-            known.clear()
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
-        except KeyError:
-            for p in pieces:
-                if p not in known:
-                    known[p] = np.array(self.encode_piece(p.encode()), np.int32).tobytes()
-            return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        if _JOINED.search(text):
+            known, parts = self.pieces, self.split(text)
+            return np.frombuffer(b"".join([known[p] for p in parts]), np.int32)
+        first, *parts = text.split(" ")
+        known = self.words
+        return np.frombuffer(b"".join([*(self.pieces[p] for p in self.split(first)), *[known[w] for w in parts]]), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
