@@ -41,6 +41,8 @@ CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 #: Weights before anything is learned, and how many pages they count for.
 PRIOR = {"word": 1.0, "linked word": -1.0, "chrome word": -3.0, "tag": -0.5, "chrome tag": -3.0}
 PRIOR_PAGES, SAMPLE_PAGES = 20.0, 5000
+#: What is not content between two paragraphs takes no more than this from the region.
+MOST_PENALTY = -5.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg")}
@@ -163,7 +165,25 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract_text(page: str | None, weights: dict[str, float]) -> str:
     parts = blocks(page)
-    first, end = best_region([sum(weights[k] * n for (k, _), n in c.items()) for _, c, _ in parts])
+    labelled = any(n for _, c, _ in parts for (k, inside), n in c.items() if inside and k == "word")
+
+    def score(counts: Counter, chrome: bool) -> float:
+        """Adverts and the like within the content neither add nor end it; beside labelled content nothing is content."""
+        inside = any(i for _, i in counts)
+        if chrome:
+            return 0.0 if inside else sum(weights[k] * n for (k, _), n in counts.items())
+        return sum((weights[k] if inside or not labelled else min(weights[k], weights["chrome word"])) * n for (k, _), n in counts.items())
+
+    scores, spent = [], 0.0
+    for _, counts, chrome in parts:
+        x = score(counts, chrome)
+        if chrome:  # neighbouring blocks of chrome share the largest penalty
+            x = max(x, MOST_PENALTY - spent)
+            spent += x
+        elif counts["word", True] + counts["word", False]:
+            spent = 0.0
+        scores.append(x)
+    first, end = best_region(scores)
     return "\n".join(t for t, _, chrome in parts[first:end] if t and not chrome)
 
 

@@ -61,7 +61,8 @@ def vector(text: str | None, bits: int) -> np.ndarray | None:
     if not letter.any():
         return None
     codes = np.where(letter, codes, 32).astype(np.uint32)
-    codes = np.concatenate([[32], codes[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint32)  # a gap is one space
+    codes = codes[letter | np.concatenate([[False], letter[:-1]])]  # a gap is one space
+    codes = np.concatenate([[32], codes, [32] * int(codes[-1] != 32)]).astype(np.uint32)
     shift, counts = np.uint32(32 - bits), np.zeros(1 << bits, np.float32)
     one = codes * np.uint32(2654435761)
     two = one[:-1] * np.uint32(31) + codes[1:] * np.uint32(2246822519)
