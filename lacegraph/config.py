@@ -62,4 +62,4 @@ def size_in_bytes(text: str) -> int:
 
 def next_power_of_two(n: int) -> int:
     """The least power of two that is not below n; 1 for n below 1."""
-    return 1 << max(0, (n - 1).bit_length())
+    return 1 << (max(n, 1) - 1).bit_length()
