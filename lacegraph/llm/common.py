@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Regular-expression class of the white space that separates words: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -59,7 +60,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """mapInArrow with a state that is made once a task (fn()), on slices of at most ``rows`` rows."""
     ship(df.sparkSession)
 

@@ -14,11 +14,11 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, ship
+from .common import map_arrow
 
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -174,17 +174,23 @@ def _predictor(model: Model):
 def keep(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` with a language, which replaces ``lang_col``; texts without a letter (``und``) are rejected.
 
-    It adds a column to the rows as they pass, so nothing is joined or shuffled.
+    Whole rows pass through as Arrow batches and rejected ones are left out, so nothing is joined or shuffled.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
 
-    @F.pandas_udf("string")
-    def lang(texts: pd.Series) -> pd.Series:
+    def make():
         of = _predictor(handle.value)
-        return pd.Series([x for at in range(0, len(texts), 512) for x in of(list(texts[at : at + 512]))[0]], dtype=object)
 
-    ship(docs.sparkSession)
-    return docs.withColumn(lang_col, lang(F.col(text_col).cast("string"))).where(F.col(lang_col) != UNKNOWN)
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            langs = pa.array(of(batch.column(names.index(text_col)).to_pylist())[0], pa.string())
+            columns = [langs if n == lang_col else c for n, c in zip(names, batch.columns)]
+            return pa.RecordBatch.from_arrays(columns, names=names).filter(pc.not_equal(langs, UNKNOWN))
+
+        return each
+
+    rows = docs.withColumns({c: F.col(c).cast("string") for c in (text_col, lang_col)})
+    return map_arrow(rows, make, rows.schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
