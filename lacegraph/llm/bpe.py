@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lists_of, map_arrow
 
 #: Entries that a worker keeps of words and of other pre-tokens (two generations of so many each) and of pairs.
-WORDS, PIECES, PAIRS = 300_000, 100_000, 1_000_000
+WORDS, PIECES, PAIRS = 250_000, 60_000, 400_000
 #: A space between white space on both sides, or after one at the end, belongs to a longer match.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -59,10 +59,9 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        self.bytes_of = tokens_of(ranks)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.size = list(map(len, self.bytes_of))
@@ -166,6 +165,14 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -193,16 +200,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_arrow(chosen, make, "id long, tokens array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, tokens, bytes binary) from encode()'s rows."""
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, tokens, bytes binary) from encode()'s rows; it needs the vocabulary only."""
 
     def make():
-        c = codec(path, pattern)
+        table = tokens_of(load_ranks(path)).__getitem__
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             column = batch.column(1)
             ids, at = column.flatten().to_pylist(), np.cumsum([0, *(column.value_lengths().to_pylist())]).tolist()
-            return pa.RecordBatch.from_arrays([batch.column(0), column, pa.array([c.decode(ids[a:b]) for a, b in zip(at, at[1:])], pa.binary())], names=["id", "tokens", "bytes"])
+            return pa.RecordBatch.from_arrays([batch.column(0), column, pa.array([b"".join(map(table, ids[a:b])) for a, b in zip(at, at[1:])], pa.binary())], names=["id", "tokens", "bytes"])
 
         return each
 

@@ -131,7 +131,7 @@ def blocks(page: str | None) -> list[tuple[str, Counter, bool]]:
     def close() -> None:
         nonlocal words, counts, chrome
         if words or counts:
-            out.append((" ".join("".join(words).split()), counts, chrome))
+            out.append((" ".join("".join(words).split()), counts, chrome or all(k == "chrome tag" for k, _ in counts)))
         words, counts, chrome = [], Counter(), False
 
     for what, value, kind, inside in tokens(page or ""):

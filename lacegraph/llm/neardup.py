@@ -189,8 +189,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stars = kept.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     m = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
     stars = stars.join(m("a"), "a").join(m("b"), "b").where(_sizes("na", "nb", percent) & (_bits("oa", "ob") <= most_bits(HUB_LEAST)))
-    links = cut(confirm(stars, texts, width, percent))
-    found = cut(components(links))
+    links = confirm(stars, texts, width, percent)
+    twice = seen.where("key is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not twice.isEmpty():  # rows that share an id hold their classes together
+        held = seen.join(twice, "id", "left_semi").select("id", "key").join(classes, "key").select("id", F.col("rep").alias("a")).distinct()
+        links = links.unionByName(held.join(held.groupBy("id").agg(F.min("a").alias("b")), "id").where("a <> b").select("a", "b"))
+    found = cut(components(cut(links)))
 
     for low, high in STEPS:
         labels = found.select("id", "component")

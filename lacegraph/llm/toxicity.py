@@ -184,7 +184,7 @@ def _odds(rows: DataFrame, params: Params) -> Model:
     prior = params.prior
     table = map_arrow(rows.select("k", "text", "y"), make, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= params.least_docs)
     share = (F.col("c") + F.col("t")) / F.lit(clean + toxic)
-    odds = lambda y, n: F.log(y / (n + prior - y))
+    odds = lambda y, n: F.log(y / (n + prior + 0.5 - y))
     t, c = F.col("t") + prior * share, F.col("c") + prior * share
     table = table.select("feature", (odds(t, F.lit(toxic)) - odds(c, F.lit(clean))).alias("w"), F.sqrt(1 / t + 1 / c).alias("sd")).where(F.abs(F.col("w") / F.col("sd")) >= params.least_z)
     best = table.orderBy(F.abs(F.col("w") / F.col("sd")).desc(), "feature").limit(params.features)

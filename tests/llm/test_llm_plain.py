@@ -1,0 +1,163 @@
+"""Operators' cores without Spark: brute force, round trips and hand-worked cases."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from lacegraph.llm import bpe, html_extract, langid, neardup, secrets, token_counts, toxicity
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library(codec):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+
+
+def texts(seed, n, letters="abcdeeettt  \n\t.,é漢😀\x00ABs'll123²=-_"):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_bpe_equals_library(codec, library):
+    hard = ["a  ", "a\n \nb", "a \n b", "\n \n", " a", "   ", "a \x1c b\x1f c\x85d\xa0 e", "x\u2003 y \u2003z",  "", " ", "a" * 3000, "=" * 3000, " " * 999 + "x", "abcab" * 500, "<|endoftext|>", "  x", "ſK"]
+    for t in texts(1, 3000) + hard:
+        ids = codec.encode(t).tolist()
+        assert ids == library.encode_ordinary(t), t
+        assert codec.decode(ids) == t.encode()
+
+
+def test_bpe_tables_may_start_anew(codec, library, monkeypatch):
+    for name in ("WORDS", "PIECES", "PAIRS"):
+        monkeypatch.setattr(bpe, name, 10)
+    small = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    for t in texts(2, 200):
+        assert small.encode(t).tolist() == library.encode_ordinary(t)
+
+
+def test_token_counts_split_safely():
+    count = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for t in [" ".join(texts(i, 60)) for i in range(20)] + ["x" * 5000, " " * 5000, "a  b   c \n\n d " * 200, "<|endoftext|> a <|endoftext|>" * 50]:
+        long = rng.choice([50, 200, 1000])
+        cut = token_counts.parts(t, long)
+        assert "".join(cut) == t
+        assert sum(count(cut)) == count([t])[0]
+    assert token_counts.parts("") == []
+    assert [len(g) for g in token_counts.groups([(0, "abc"), (0, "de"), (1, "f")], 4)] == [2, 1]
+
+
+def test_secret_spans():
+    t = 'x = "Ab9$kkdj28dkW"\nuser = "bob"\ndb.password = x\nnote: see token of the day\napi_key = "changeme"\n'
+    assert secrets.all_spans(t) == [(5, 18, "literal")]
+    got = secrets.base_spans("PassWord: abcdefghijkl AKIA" + "A1" * 8 + " " + "0f" * 8 + " token=short toKen='0123456789ab'")
+    assert [k for *_, k in sorted(got)] == ["assign", "access", "hex", "assign"]
+    assert secrets.base_spans("password=token:abcdefghijklmnop") == []  # the failing match takes the place
+    assert secrets.base_spans("\u017fecret=abcdefghijklmnop to\u212aen=abcdefghijklmnop") == []  # ASCII letters only
+    assert secrets.literals('secret = "abcd" + "EFGH1234" + "xyz987"') == [(10, 38)]
+    assert secrets.all_spans("") == []
+
+
+def test_secret_base_equals_plain_search():
+    rng = random.Random(5)
+    words = ["password", "Token", "=", ":", '"', " ", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "xyz", "api_key", "apikey", "\n"]
+    plain = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    for _ in range(2000):
+        t = "".join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+        expected = [(*m.span(), k) for k, p, g, n in plain for m in p.finditer(t) if len(m[g]) >= n]
+        assert sorted(secrets.base_spans(t)) == sorted(expected)
+        assert set(expected) <= set(secrets.all_spans(t))
+
+
+def test_maximal_segments():
+    rng = random.Random(7)
+    for _ in range(300):
+        s = [rng.choice([-3, -2, -1, 1, 2, 4]) for _ in range(rng.randint(0, 25))]
+
+        def split(a, b):  # the best segment (shortest of equals), then the rest on either side
+            best = None
+            for i in range(a, b):
+                for j in range(i + 1, b + 1):
+                    key = (-sum(s[i:j]), j - i, i)
+                    best = min(best or key, key)
+            if not best or best[0] >= 0:
+                return []
+            i, j = best[2], best[2] + best[1]
+            return split(a, i) + [(i, j, -best[0])] + split(j, b)
+
+        got = toxicity.segments(s)
+        assert sum(x for *_, x in got) == pytest.approx(sum(x for *_, x in split(0, len(s))))
+        assert max((x for *_, x in got), default=0) == pytest.approx(max((x for *_, x in split(0, len(s))), default=0))
+    assert toxicity.segments([]) == []
+
+
+def test_karlin():
+    lam = toxicity.karlin(np.array([-1.0, 1.0]), np.array([0.75, 0.25]))
+    assert lam == pytest.approx(np.log(3), rel=1e-6)
+    assert toxicity.karlin(np.array([1.0]), np.array([1.0])) == 0.1
+
+
+def test_html():
+    w = html_extract.weights_of({})
+    page = (
+        "<html><head><title>no</title><style>p{}</style></head><body><header>site</header><nav><a href=x>menu one two</a></nav><div class='cookie-notice'>we use cookies a lot</div>"
+        "<div id=content><h1>A  head\nline</h1><p>First &amp;amp; para <b>wi</b>th words &#233; enough to win<br>again<p>Second one with many words too<script>var x='</p>';</script>"
+        "<div class=comments><p>reader says something</div><form>name <input><button>go</button></form><p>Third para has words enough to outweigh what stands between it and the others before it, as paragraphs of articles do more often than not in the end</div><aside>side bar text</aside><footer>&copy; foot</footer></body></html>"
+    )
+    assert html_extract.extract_text(page, w) == "A head line\nFirst &amp; para with words é enough to win again\nSecond one with many words too\nThird para has words enough to outweigh what stands between it and the others before it, as paragraphs of articles do more often than not in the end"
+    for empty in (None, "", "<div></div>", "<!-- x", "<script>x", "<"):
+        assert html_extract.extract_text(empty, w) in ("", "<")
+    inner = "<div>plain words before it</div><article><p>One two three</p><div class='ad'>buy buy buy buy buy buy buy buy buy</div><p>Four five six</p></article><p>other words after it</p>"
+    assert html_extract.extract_text(inner, w) == "One two three\nFour five six"
+    assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
+    assert html_extract.best_region([-1]) == (0, 0)
+
+
+def test_language_vectors():
+    assert langid.vector(None, 11) is None and langid.vector("12 !?", 11) is None
+    v = langid.vector("Ein Text", 11)
+    assert v.shape == (2048,) and np.linalg.norm(v) == pytest.approx(1, rel=1e-4)
+    assert np.allclose(v, langid.vector("ein   TEXT!", 11))
+
+
+def test_odd_sketch_estimates_high_similarity():
+    rng = np.random.default_rng(1)
+    errors = []
+    for j in (0.7, 0.8, 0.9, 0.97):
+        for _ in range(12):
+            both = rng.integers(0, 1 << 62, int(1000 * j), np.uint64)
+            rest = rng.integers(0, 1 << 62, 1000 - len(both), np.uint64)
+            a, b = np.concatenate([both, rest[::2]]), np.concatenate([both, rest[1::2]])
+            x, y = (neardup.odd_sketch(neardup.samples(s)) for s in (a, b))
+            bits = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            errors.append(neardup.estimate(bits) - j)
+    assert np.abs(errors).max() < 0.08 and np.abs(np.mean(errors)) < 0.01
+    assert neardup.most_bits(1.0) == 0 and neardup.most_bits(0.8) < neardup.most_bits(0.7)
+
+
+def test_shingles():
+    known = {}
+    assert len(neardup.shingles(None, 4, known)) == len(neardup.shingles(" \t\n", 4, known)) == 0
+    one = neardup.shingles("a b", 4, known)
+    assert len(one) == 1 and (one == neardup.shingles("A\tb\n", 4, known)).all()
+    assert (one != neardup.shingles("a c", 4, known)).all()
+    assert len(neardup.shingles("x y z w " * 9, 4, known)) == 4
+    assert len(neardup.shingles("É a b c d", 2, known)) == 3  # only ASCII white space splits
+
+
+def test_bands_catch_similar_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        both, rest = rng.integers(0, 1 << 62, 160, np.uint64), rng.integers(0, 1 << 62, 40, np.uint64)
+        x, y = (neardup.band_keys(neardup.samples(np.concatenate([both, r]))) for r in (rest[:20], rest[20:]))
+        assert (x == y).any()
+    assert len(Counter(neardup.band_keys(neardup.samples(both)).tolist())) == neardup.BANDS
