@@ -95,3 +95,22 @@ def end_types(graph: DataFrame) -> DataFrame:
     rows = vertices.join(out, "vertex", "left").join(back, "next", "left")
     kind = F.when(F.col("degree").isNull(), "TIP").when(F.col("degree") > 1, "MULTI_OUT").when(F.col("back") > 1, "MULTI_NEI").otherwise("MERGEABLE")
     return rows.select("vertex", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), kind.alias("type"))
+
+
+def degrees(graph: DataFrame) -> DataFrame:
+    """(vertex, degree) of vertices with arcs."""
+    return graph.groupBy(F.col("u").alias("vertex")).agg(F.count("*").alias("degree"))
+
+
+def walks(graph: DataFrame, most: int) -> DataFrame:
+    """(vertex, last, steps, type): the walk of up to ``most`` mergeable steps from each vertex, and how it ends."""
+    kinds = end_types(graph)
+    ways = graph.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("next"))
+    kinds = kinds.join(ways, "vertex", "left").select(F.col("vertex").alias("last"), "type", F.when(F.col("type") == "MERGEABLE", F.col("next")).alias("next"))
+    at = kinds.select(F.col("last").alias("vertex"), "last", F.lit(0).cast("long").alias("steps"), "type", "next")
+    for _ in range(most):
+        here = kinds.select(F.col("last").alias("__x"), F.col("type").alias("__type"), F.col("next").alias("__next"))
+        moved = at.join(here, F.col("next") == F.col("__x"), "left")
+        on = F.col("__x").isNotNull()
+        at = moved.select("vertex", F.when(on, F.col("__x")).otherwise(F.col("last")).alias("last"), (F.col("steps") + on.cast("long")).alias("steps"), F.when(on, F.col("__type")).otherwise(F.col("type")).alias("type"), F.when(on, F.col("__next")).alias("next"))
+    return at.drop("next")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Options
 from ..functions import scalar
-from ..operators import chain, coverage, graph, ordered, seeds, simplify, sketch
+from ..operators import chain, coverage, graph, ordered, seeds, selection, simplify, sketch
 from ..sources import fasta, gfa
 from . import oracles, pipeline
 from .inputs import ARCS, HITS, INNER_SUBS, LENGTHS, LOOSE_ARCS, READS, SEEDS, SUBS, load
@@ -285,6 +285,36 @@ def id_set_difference(spark, d):
     return a.join(b, "id", "left_anti")
 
 
+def order_statistic(spark, d):
+    """The price at the middle place."""
+    rows = load(spark, d, "SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM {lineitem}")
+    return selection.kth_smallest(rows, "cents", 3000)
+
+
+def random_sample(spark, d):
+    return selection.sample_rows(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey", 100)
+
+
+def read_stats(spark, d):
+    return selection.read_stats(_reads(spark, d))
+
+
+def vertex_degree(spark, d):
+    return graph.degrees(load(spark, d, ARCS))
+
+
+def linear_walk(spark, d):
+    return graph.walks(load(spark, d, ARCS), 4)
+
+
+def graph_components(spark, d):
+    """The smallest read that each read of the graph is connected to."""
+    from ..operators.components import components
+
+    arcs = load(spark, d, ARCS)
+    return components(arcs.select(F.shiftright("u", 1).alias("a"), F.shiftright("v", 1).alias("b"))).select(F.col("id").alias("read_id"), "component")
+
+
 tip_cut, bubble_pop, internal_cut, biloop_cut = _pass(("tip", 4)), _pass(("bubble", 50000)), _pass(("internal", 1)), _pass(("biloop", 4))
 
 NAMES = (
@@ -293,6 +323,7 @@ NAMES = (
     "all_hits", "depth_regions", "depth_regions_clipped", "mean_depth", "hit_cut", "sub_merge", "hit_filter_relaxed", "overlap_class", "contained_reads", "used_reads", "survivor_renumber",
     "string_graph_arcs", "arc_multi_dedupe", "arc_symmetric", "transitive_reduction", "reduced_graph", "short_overlap_drop", "vertex_end_type", "tip_cut", "bubble_pop", "internal_cut",
     "biloop_cut", "unitigs", "unitig_links", "gfa_lines", "simplified_graph", "assembly_lines", "partition_histogram", "run_length", "list_union", "id_set_union", "id_set_difference",
+    "order_statistic", "random_sample", "read_stats", "vertex_degree", "linear_walk", "graph_components",
 )
 
 

@@ -155,6 +155,14 @@ SELECT u, v, l, ol FROM c WHERE class = 'ARC' AND qid <> tid AND qid NOT IN (SEL
         "short_overlap_drop": f"WITH {short}, {_symm('SELECT * FROM rest')} SELECT * FROM sym",
         "vertex_end_type": f"""WITH arcs AS ({ARCS}), deg AS (SELECT u, count(*) AS n, min(v) AS nxt FROM arcs GROUP BY u), vs AS (SELECT u AS x FROM arcs UNION SELECT v FROM arcs UNION SELECT {_TWIN('u')} FROM arcs UNION SELECT {_TWIN('v')} FROM arcs)
 SELECT x AS vertex, coalesce(d.n, 0)::BIGINT AS degree, CASE WHEN d.n IS NULL THEN 'TIP' WHEN d.n > 1 THEN 'MULTI_OUT' WHEN coalesce(b.n, 0) > 1 THEN 'MULTI_NEI' ELSE 'MERGEABLE' END AS type FROM vs LEFT JOIN deg d ON d.u = x LEFT JOIN deg b ON b.u = {_TWIN('d.nxt')}""",
+        "order_statistic": "SELECT v AS value FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS i FROM lineitem) WHERE i = 3000",
+        "read_stats": f"SELECT count(*) AS n_reads, sum(len)::BIGINT AS bases, max(len) AS max_len FROM ({READS})",
+        "vertex_degree": f"SELECT u AS vertex, count(*) AS degree FROM ({ARCS}) GROUP BY u",
+        "linear_walk": f"""WITH RECURSIVE arcs AS ({ARCS}), deg AS (SELECT u, count(*) AS n, min(v) AS nxt FROM arcs GROUP BY u), vs AS (SELECT u AS x FROM arcs UNION SELECT v FROM arcs UNION SELECT {_TWIN('u')} FROM arcs UNION SELECT {_TWIN('v')} FROM arcs),
+kinds AS (SELECT x, CASE WHEN d.n IS NULL THEN 'TIP' WHEN d.n > 1 THEN 'MULTI_OUT' WHEN coalesce(b.n, 0) > 1 THEN 'MULTI_NEI' ELSE 'MERGEABLE' END AS type, d.nxt FROM vs LEFT JOIN deg d ON d.u = x LEFT JOIN deg b ON b.u = {_TWIN('d.nxt')}),
+walk AS (SELECT x AS vertex, x AS last, 0::BIGINT AS steps, type, nxt FROM kinds UNION ALL SELECT w.vertex, k.x, w.steps + 1, k.type, k.nxt FROM walk w JOIN kinds k ON k.x = w.nxt WHERE w.type = 'MERGEABLE' AND w.steps < 4)
+SELECT vertex, last, steps, type FROM walk QUALIFY row_number() OVER (PARTITION BY vertex ORDER BY steps DESC) = 1""",
+        "graph_components": f"""WITH RECURSIVE e AS (SELECT u >> 1 AS a, v >> 1 AS b FROM ({ARCS})), r AS (SELECT a, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a) SELECT a AS read_id, min(c) AS component FROM r GROUP BY a""",
         "partition_histogram": "SELECT (l_orderkey % 3)::INT AS node, (l_orderkey // 3 % 256)::INT AS part, count(*) AS n FROM lineitem GROUP BY 1, 2",
         "run_length": """WITH a AS (SELECT *, row_number() OVER w AS i, lag(l_returnflag) OVER w AS before FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag)),
 b AS (SELECT *, sum(CASE WHEN i = 1 OR l_returnflag IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM a) SELECT l_partkey, run, l_returnflag, count(*) AS n FROM b GROUP BY ALL""",
