@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import Options
 from ..functions import scalar
 from ..operators import chain, coverage, graph, ordered, seeds, selection, simplify, sketch
+from ..operators.components import components
+from ..operators.grouped import map_groups
+from ..session import cut
 from ..sources import fasta, gfa
 from . import oracles, pipeline
 from .inputs import ARCS, HITS, INNER_SUBS, LENGTHS, LOOSE_ARCS, READS, SEEDS, SUBS, load
@@ -23,6 +26,11 @@ def _minis(spark: SparkSession, d: str) -> DataFrame:
     return sketch.minimizers(_reads(spark, d))
 
 
+def _sketched(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked sketch, made once: the join reads it three times."""
+    return cut(sketch.minimizers(_reads(spark, d), ranked=True))
+
+
 def fasta_reads(spark, d):
     docs = _reads(spark, d)
     lines = ordered.ordinal(docs, "read_id", "n").select("n", F.posexplode(F.array(F.concat(F.lit(">"), "header"), "seq")).alias("at", "value"))
@@ -91,11 +99,11 @@ def offset_asof_join(spark, d):
 
 
 def seed_join(spark, d):
-    return seeds.seeds(_minis(spark, d)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos")
+    return seeds.seeds(_sketched(spark, d)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos")
 
 
 def shared_minimizers(spark, d):
-    return seeds.pair_counts(seeds.seeds(_minis(spark, d)))
+    return seeds.pair_counts(seeds.seeds(_sketched(spark, d)))
 
 
 def seed_diagonal(spark, d):
@@ -114,8 +122,6 @@ def lis_chain(spark, d):
 def chain_gap_split(spark, d):
     """Gaps of sorted seeds beyond 1000 on both axes, as the chains are split."""
     rows = load(spark, d, SEEDS).groupBy("qid", "tid", "rev", "qpos").agg(F.min("rpos").alias("rpos"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("qid", "tid", "rev").orderBy("qpos")
     gap = (F.col("qpos") - F.lag("qpos").over(w) > 1000) & (F.abs(F.col("rpos") - F.lag("rpos").over(w)) > 1000)
     parts = rows.withColumn("part", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w).cast("long"))
@@ -124,8 +130,6 @@ def chain_gap_split(spark, d):
 
 def interval_union_len(spark, d):
     """Length of the union of 15-wide intervals that end at the seeds of a pair."""
-    from ..operators.grouped import map_groups
-
     rows = load(spark, d, SEEDS).select("qid", "tid", "rev", "qpos")
     one = lambda g: {"qid": [int(g["qid"][0])], "tid": [int(g["tid"][0])], "rev": [bool(g["rev"][0])], "total": [chain.union_length(g["qpos"], 15)]}
     return map_groups(rows, ["qid", "tid", "rev"], ["qpos"], one, "qid long, tid long, rev boolean, total long", ["qid", "tid", "rev", "total"])
@@ -238,8 +242,6 @@ def unitig_links(spark, d):
 
 def gfa_lines(spark, d):
     arcs, lengths, found = _unitigs(spark, d)
-    from ..session import cut
-
     found = cut(found)
     return gfa.lines(found, simplify.unitig_links(arcs, found), lengths.select("read_id", F.lit(0).alias("s"), F.col("len").alias("e"))).select("line")
 
@@ -309,8 +311,6 @@ def linear_walk(spark, d):
 
 def graph_components(spark, d):
     """The smallest read that each read of the graph is connected to."""
-    from ..operators.components import components
-
     arcs = load(spark, d, ARCS)
     return components(arcs.select(F.shiftright("u", 1).alias("a"), F.shiftright("v", 1).alias("b"))).select(F.col("id").alias("read_id"), "component")
 
