@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lists_of, map_arrow
 
 #: Entries that a worker keeps of words and of other pre-tokens (two generations of so many each) and of pairs.
-WORDS, PIECES, PAIRS = 250_000, 60_000, 400_000
+WORDS, PIECES, PAIRS = 200_000, 60_000, 300_000
 #: A space between white space on both sides, or after one at the end, belongs to a longer match.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -62,17 +63,29 @@ class Codec:
         self.bytes_of = tokens_of(ranks)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.size = list(map(len, self.bytes_of))
         #: For each token the longest token that is a proper prefix (-1: none, -2: not looked up yet).
         self.shorter = [-2] * len(self.size)
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
-        pack = lambda ids: np.array(ids, np.int32).tobytes()
-        self.pieces = Recent(lambda piece: pack(self.encode_piece(piece.encode())), PIECES)
-        letters = self.split(" aé") == [" aé"]  # the pattern takes a space and letters together
-        self.words = Recent(lambda word: pack(self.encode_piece(f" {word}".encode())) if letters and word.isalpha() else b"".join([self.pieces[p] for p in self.split(" " + word)]), WORDS)
+        self.follow: dict[int, int] = {}
+        self.letters = self.split(" aé") == [" aé"]  # whether the pattern takes a space and letters together
+        self.pieces = Recent(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), PIECES)
+        self.words = Recent(self.encode_word, WORDS)
+
+    def forget(self) -> None:
+        """Free the tables of words and pieces."""
+        for table in (self.words, self.pieces):
+            table.clear()
+            table.old = {}
+
+    def encode_word(self, word: str) -> bytes:
+        """The packed ids of a space and the word after it."""
+        if self.letters and word.isalpha():
+            return array("i", self.encode_piece(f" {word}".encode())).tobytes()
+        return b"".join([self.words[p[1:]] if p[0] == " " and self.letters and p[1:].isalpha() else self.pieces[p] for p in self.split(" " + word)])
 
     def undo(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made this one; a single byte gives itself twice."""
@@ -121,36 +134,59 @@ class Codec:
 
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix; -1 if none."""
-        word = self.bytes_of[token]
-        got = self.shorter[token] = next((self.ranks[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.ranks), -1)
+        if (got := self.shorter[token]) == -2:
+            word = self.bytes_of[token]
+            got = self.shorter[token] = next((self.ranks[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.ranks), -1)
         return got
 
+    def first_fit(self, last: int, token: int) -> int:
+        """The longest of a token and its prefixes that can follow ``last``; -1 if none. Memoised."""
+        if len(self.follow) > PAIRS:
+            self.follow.clear()
+        key = last << 20 | token
+        while token >= 0:
+            fit = self.fits.get(last << 20 | token)
+            if fit or fit is None and self.compatible(last, token):
+                break
+            token = self.prefix(token)
+        self.follow[key] = token
+        return token
+
     def encode_piece(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        size, sizes, fits, shorter = len(word), self.size, self.fits, self.shorter
+        size, sizes, follow = len(word), self.size, self.follow
         longest = [-1] * (size + 1)
-        for end, (token, length) in self.automaton.iter(word.decode("latin-1")):
-            longest[end + 1 - length] = token  # later ends are longer
-        closed, out, at, token, last = set(), [], 0, longest[0], -1
+        for end, (token, before) in self.automaton.iter(word.decode("latin-1")):
+            longest[end - before] = token  # later ends are longer
+        last = longest[0]
+        out, at = [last], sizes[last]
+        while at < size:  # the way without a step back
+            token = follow.get(last << 20 | longest[at])
+            if token is None:
+                token = self.first_fit(last, longest[at])
+            if token < 0:
+                return self._search(size, longest, out, at)
+            out.append(token)
+            at += sizes[token]
+            last = token
+        return out
+
+    def _search(self, size: int, longest: list[int], out: list[int], at: int) -> list[int]:
+        """Go on from a place where nothing fits: close it, and try the token before shorter, as far back as needed."""
+        sizes, closed = self.size, {at}
+        token = out.pop()
+        at -= sizes[token]
         while at < size:
-            end = at + sizes[token]
-            if end not in closed:
-                if last < 0:
-                    fit = True
-                elif (fit := fits.get(last << 20 | token)) is None:
-                    fit = self.compatible(last, token)
-                if fit:
-                    out.append(token)
-                    at, last, token = end, token, longest[end]
-                    continue
-            then = shorter[token]
-            token = self.prefix(token) if then == -2 else then
-            if token < 0:  # nothing fits here: close the place, so that the token before is tried shorter
+            last = out[-1] if out else -1
+            if at + sizes[token] not in closed and (last < 0 or self.first_fit(last, token) == token):
+                out.append(token)
+                at += sizes[token]
+                token = longest[at]
+            elif (token := self.prefix(token)) < 0:
                 closed.add(at)
                 token = out.pop()
                 at -= sizes[token]
-                last = out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -194,6 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             flat = np.concatenate(got) if got else np.zeros(0, np.int32)
             return pa.RecordBatch.from_arrays([batch.column(0), lists_of(flat, [len(x) for x in got], pa.int32())], names=["id", "tokens"])
 
+        each.close = c.forget
         return each
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -208,7 +245,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             column = batch.column(1)
-            ids, at = column.flatten().to_pylist(), np.cumsum([0, *(column.value_lengths().to_pylist())]).tolist()
+            ids, at = column.flatten().to_numpy().tolist(), np.cumsum([0, *(column.value_lengths().to_pylist())]).tolist()
             return pa.RecordBatch.from_arrays([batch.column(0), column, pa.array([b"".join(map(table, ids[a:b])) for a, b in zip(at, at[1:])], pa.binary())], names=["id", "tokens", "bytes"])
 
         return each

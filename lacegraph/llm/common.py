@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +63,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process stays for later tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """mapInArrow with a state that is made once a task (fn()), on slices of at most ``rows`` rows."""
     ship(df.sparkSession)
@@ -69,6 +80,9 @@ def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Reco
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield each(batch.slice(at, rows))
+        getattr(each, "close", int)()
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 

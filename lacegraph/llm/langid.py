@@ -36,7 +36,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Params:
     #: At most about so many training rows of each language.
-    rows_per_language: int = 1500
+    rows_per_language: int = 1000
     bits: int = 11
     rounds: int = 150
     penalty: float = 1e-4
