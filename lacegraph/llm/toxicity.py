@@ -32,13 +32,13 @@ TOKEN = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Params:
     #: At most about so many labelled rows are used: two thirds for the log-odds, one third for the calibration.
-    sample_rows: int = 12_000
+    sample_rows: int = 24_000
     #: At most so many features stay, those with the largest z.
     features: int = 20_000
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     prior: float = 50.0
     least_docs: int = 5
-    least_z: float = 3.0
+    least_z: float = 4.0
     drift: float = 0.7
     most: float = 6.0
 
