@@ -76,7 +76,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL}
 
 
 OP8_SQL = f"""
@@ -89,3 +89,42 @@ k AS (SELECT l.r, l.pos, l.line, b.line IS NOT NULL AS dropped FROM l LEFT JOIN
 g AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM k GROUP BY r)
 SELECT t.doc_id, t.source, g.text, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_dropped, 0)::BIGINT AS n_dropped FROM t LEFT JOIN g USING (r)
 """
+
+_UPPER, _LOWER = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+#: The links by counting common shingles, and what each document reaches over them.
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT r.a AS doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id, min(r.b) = r.a AS kept FROM r JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
+def _seed_sql(table: str, key: str) -> str:
+    """(key, pos, seed) of each mask over a table of words."""
+    parts = []
+    for number, mask in enumerate(decontam.MASKS):
+        ones = ", ".join(f"ws[i + {j + 1}]" for j, c in enumerate(mask) if c == "1")
+        parts.append(f"SELECT {key}, i AS pos, concat_ws(' ', '{number}', {ones}) AS seed FROM (SELECT {key}, ws, unnest(range(len(ws) - {len(mask) - 1})) AS i FROM {table} WHERE len(ws) >= {len(mask)})")
+    return " UNION ALL ".join(parts)
+
+
+def _words_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM {table} WHERE text IS NOT NULL"
+
+
+#: Seeds as joined words, for items of at least a mask's length, as all of the driver's are.
+OP7_SQL = f"""
+WITH d AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}),
+ds AS ({_seed_sql("d", "doc_id")}), bs AS ({_seed_sql("b", "item_id")}),
+h AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS off FROM ds JOIN bs USING (seed)),
+a AS (SELECT doc_id, item_id, off, d.ws AS dw, b.ws AS bw, greatest(0, -off) AS lo, least(len(b.ws), len(d.ws) - off) AS hi, least({decontam.WINDOW}, len(b.ws)) AS w FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+m AS (SELECT doc_id, item_id, w, list_transform(range(lo, hi), lambda j: CASE WHEN dw[j + off + 1] = bw[j + 1] THEN 1 ELSE 0 END) AS same FROM a WHERE hi - lo >= w),
+f AS (SELECT DISTINCT doc_id, item_id FROM m WHERE len(list_filter(range(1, len(same) - w + 2), lambda s: list_sum(same[s:s + w - 1]) >= ceil(w * {decontam.AGREE}))) > 0)
+SELECT t.doc_id, count(f.item_id) > 0 AS contaminated, count(f.item_id) AS n_items, coalesce(string_agg(f.item_id, ',' ORDER BY f.item_id), '') AS items FROM documents t LEFT JOIN f USING (doc_id) GROUP BY t.doc_id
+"""
