@@ -31,7 +31,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, tokens) of every document."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path), more=("tokens",))
+    return bpe.digest(bpe.encode(docs, path, pattern, decoded=True), more=("tokens",))
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("benchmark", benchmark), ("tokens", tokens)]

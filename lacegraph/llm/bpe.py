@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lists_of, map_arrow
 
 #: Entries that a worker keeps of words and of other pre-tokens (two generations of so many each) and of pairs.
-WORDS, PIECES, PAIRS = 200_000, 60_000, 300_000
+WORDS, PIECES, PAIRS = 200_000, 60_000, 150_000
 #: A space between white space on both sides, or after one at the end, belongs to a longer match.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -219,8 +219,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens array<int>): one row for each row of ``docs``."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, tokens array<int>): one row for each row of ``docs``.
+
+    With ``decoded`` also the bytes that the ids stand for, looked up id by id in the same pass: a round trip without a
+    second worker process beside each task's first.
+    """
 
     def make():
         c = codec(path, pattern)
@@ -228,13 +232,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([batch.column(0), lists_of(flat, [len(x) for x in got], pa.int32())], names=["id", "tokens"])
+            columns = [batch.column(0), lists_of(flat, [len(x) for x in got], pa.int32())]
+            if decoded:
+                columns.append(pa.array([c.decode(x.tolist()) for x in got], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, names=["id", "tokens", "bytes"][: len(columns)])
 
         each.close = c.forget
         return each
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(chosen, make, "id long, tokens array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(chosen, make, "id long, tokens array<int>" + ", bytes binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:

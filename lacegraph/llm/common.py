@@ -18,6 +18,10 @@ from pyspark.sql.types import StructType
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
+#: Whole texts are long, so Arrow batches of the default 10,000 rows would take much memory on both sides.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +78,8 @@ def give_back() -> None:
 def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """mapInArrow with a state that is made once a task (fn()), on slices of at most ``rows`` rows."""
     ship(df.sparkSession)
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()

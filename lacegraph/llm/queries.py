@@ -32,7 +32,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.digest(bpe.encode(read(spark, sf_dir, "documents"), path, pattern, decoded=True))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

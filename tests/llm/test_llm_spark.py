@@ -60,6 +60,7 @@ def test_bpe(docs, cases):
         ids = library.encode_ordinary(t or "")
         expected[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert table(bpe.digest(bpe.decode(bpe.encode(docs, *BPE), BPE[0]))) == expected
+    assert table(bpe.digest(bpe.encode(docs, *BPE, decoded=True))) == expected
 
 
 def test_token_counts(docs, cases):
