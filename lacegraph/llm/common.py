@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Regular-expression class of the white space that separates words: space and U+0009 to U+000D.
-SPACE_CHARS = " \t\n\x0b\f\r"
+from ..session import checkpoint_root, cut, ship
+
+__all__ = ["Scratch", "cut", "lists_of", "map_arrow", "read"]
 
 
 #: Whole texts are long, so Arrow batches of the default 10,000 rows would take much memory on both sides.
@@ -26,32 +25,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package from a source tree.
-
-    On a cluster the package comes with ``--py-files`` or is installed; the entry is then only a spare path.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; it survives the loss of executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Compressed intermediate tables in the shared folder, removed once they are no longer read."""
 

@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.components import components as connected
 from .common import Scratch, cut, map_arrow
-from .components import components
 
 SAMPLES, BANDS, BAND_ROWS, BITS = 512, 32, 4, 1024
 #: Estimated similarity from which a candidate is confirmed: loosely for hubs, in two steps for other pairs.
@@ -137,6 +137,11 @@ def _sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def components(links: DataFrame) -> DataFrame:
+    """By star steps at every size: links are many and their groups may be large."""
+    return connected(links, one_task_links=0)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets."""
     t = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
@@ -212,9 +217,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
     result = seen.select("id", "n", "key").join(classes.select("key", "rep"), "key", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
-    for name in ("buckets", "texts", "marks"):
-        scratch.drop(name)
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    result = cut(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")))
+    scratch.drop()
+    return result
 
 
 def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacegraph.llm import bpe, decontam, fingerprint, html_extract, langid, linededup, neardup, queries, secrets, token_counts, toxicity
-from lacegraph.llm.components import components
+from lacegraph.llm.neardup import components
 
 #: Extra columns clash with the operators' own names.
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, tokens string, spans int, host string, bucket string, b int, rep string, component string, score int"
