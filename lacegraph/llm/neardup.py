@@ -10,8 +10,9 @@ member is first compared with the bucket's hub, the member that shares most buck
 that still hold several components are searched for pairs of different components, best estimates first, and a pair is
 emitted in the first band that it shares only.
 
-A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8; its estimate, of standard deviation 0.02,
-falls below ``LEAST`` with about 3e-4 and below ``HUB_LEAST`` never.
+A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8. Its estimate, of standard deviation 0.02, falls below
+the last of ``STEPS`` with 6.3e-10 (the sketch's exact distribution), so the sketch loses far less than the bands do, and
+below ``HUB_LEAST`` with 1e-14.
 
 Defined results: null and empty texts (and texts of white space) have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share an id are one document; A-Z only are lower-cased.
@@ -30,9 +31,8 @@ from ..operators.components import components as connected
 from .common import Scratch, cut, map_arrow
 
 SAMPLES, BANDS, BAND_ROWS, BITS = 512, 32, 4, 1024
-#: Estimated similarity from which a candidate is confirmed: loosely for hubs, in two steps for other pairs.
-HUB_LEAST, STEPS = 0.6, ((0.8, 1.0), (0.73, 0.8))
-LEAST = STEPS[-1][0]
+#: Estimated similarity from which a candidate is confirmed: loosely for hubs, in three steps for other pairs.
+HUB_LEAST, STEPS = 0.6, ((0.8, 1.0), (0.73, 0.8), (0.65, 0.73))
 BROADCAST_ROWS = 500_000
 _WORDS_KEPT = 200_000
 

@@ -1,5 +1,6 @@
 """Operators' cores without Spark: brute force, round trips and hand-worked cases."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -144,6 +145,20 @@ def test_odd_sketch_estimates_high_similarity():
     assert neardup.most_bits(1.0) == 0 and neardup.most_bits(0.8) < neardup.most_bits(0.7)
 
 
+def test_sketch_loses_less_than_bands():
+    """The odd sketch's exact distribution at similarity 0.8: places of odd count after two throws a differing sample."""
+    n, bits, least = neardup.SAMPLES, neardup.BITS, neardup.STEPS[-1][0]
+    p, odd, lost = np.eye(1, bits + 1)[0], np.arange(bits + 1), 0.0
+    for d in range(n + 1):
+        lost += math.comb(n, d) * 0.2**d * 0.8 ** (n - d) * p[neardup.most_bits(least) + 1 :].sum()
+        for _ in range(2):
+            q = np.zeros(bits + 1)
+            q[1:] += p[:-1] * (bits - odd[:-1]) / bits
+            q[:-1] += p[1:] * odd[1:] / bits
+            p = q
+    assert lost < (1 - 0.8**neardup.BAND_ROWS) ** neardup.BANDS
+
+
 def test_shingles():
     known = {}
     assert len(neardup.shingles(None, 4, known)) == len(neardup.shingles(" \t\n", 4, known)) == 0
