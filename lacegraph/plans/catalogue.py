@@ -179,21 +179,20 @@ def overlap_class(spark, d):
 
 
 def contained_reads(spark, d):
-    return coverage.contained(load(spark, d, HITS).where("ml % 37 = 0"), load(spark, d, LENGTHS))
+    return coverage.contained(load(spark, d, HITS), load(spark, d, LENGTHS))
 
 
 def used_reads(spark, d):
-    return coverage.used(load(spark, d, HITS).where("bl % 50 = 3"))
+    return coverage.used(load(spark, d, HITS))
 
 
 def survivor_renumber(spark, d):
     hits, lengths = load(spark, d, HITS), load(spark, d, LENGTHS)
-    gone = coverage.contained(hits.where("ml % 37 = 0"), lengths)
-    return coverage.renumber(hits, coverage.survivors(lengths, hits, gone))
+    return coverage.renumber(hits, coverage.survivors(lengths, hits, coverage.contained(hits, lengths)))
 
 
 def string_graph_arcs(spark, d):
-    return graph.arcs(load(spark, d, HITS).where("ml % 11 = 0"), load(spark, d, LENGTHS))
+    return graph.arcs(load(spark, d, HITS), load(spark, d, LENGTHS))
 
 
 def arc_multi_dedupe(spark, d):
