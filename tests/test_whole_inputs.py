@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from lacegraph.plans import catalogue
+from lacegraph.plans.inputs import READS, load
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,17 @@ def by_sql(sql, sf=SF):
 def test_all_hits_are_judged(spark, name):
     names, expected = by_sql(re.sub(r"\b[mb]l % \d+ = \d+", "true", catalogue.oracle_sql()[name]))
     assert rows_of(catalogue.queries()[name](spark, SF), names) == expected
+
+
+def test_kmers_of_all_places(spark, tmp_path):
+    texts = [None, "", "acgt" * 3, "ACGTTGCAAC" * 4, "!" + "gattacagattaca" * 3, "gattacagattacag" + "!" + "ccatgacctgatcaggt", "acgtacgtacgtacgtacgt"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected, places = Counter(), {"a": 0, "c": 1, "g": 2, "t": 3, "u": 3}
+    for read_id, seq in load(spark, str(tmp_path), READS).select("read_id", "seq").collect():
+        for i in range(len(seq) - 14):
+            codes = [places.get(c, 4) for c in seq[i : i + 15]]
+            forward, reverse = (int("".join(map(str, x)), 4) if max(codes) < 4 else None for x in (codes, [3 - c for c in codes[::-1]]))
+            if forward != reverse:
+                expected[read_id, forward, reverse, min(forward, reverse), int(forward > reverse)] += 1
+    got = rows_of(catalogue.queries()["kmer_canonical"](spark, str(tmp_path)), ["read_id", "forward", "reverse", "value", "strand"])
+    assert got == expected and {r[0] for r in got} == {3, 4, 5, 6}
