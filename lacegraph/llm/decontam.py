@@ -3,8 +3,9 @@
 A seed is the hash of the words under the ones of a fixed mask, so that a changed word under a zero does not matter and
 one under a one spoils few seeds. Seeds of documents and of benchmark items are joined; each hit fixes an alignment
 (document, item, offset). An alignment is verified by comparing the words around the hit: it is an overlap if some
-window of ``WINDOW`` words (or the whole item, if shorter) agrees in at least ``AGREE`` of its words. Items shorter than
-a mask are looked up whole.
+window of ``WINDOW`` words (or the whole item, if shorter) agrees in at least ``AGREE`` of its words. The masks are complete:
+whichever 2 of 13 words are changed, one of ``SEEDS`` keeps a place without a changed word, and so does one of
+``SHORT_SEEDS`` for each change that ``AGREE`` allows in an item of 5 to 12 words. So no overlap is missed.
 
 Words are lower-cased and stripped of all but letters and digits, so punctuation and case don't hide a passage.
 
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
-# Masks over word positions, six ones in a span of nine.
+# Masks over word positions. SEEDS have six ones, complete together for 11 of 13 words; SHORT_SEEDS three,
+# for items under 13 words, and are hashed only if there are any. MASKS are those of the SQL, not complete.
+SEEDS, SHORT_SEEDS = ("1111101", "1011000111"), ("1101", "1011")
 MASKS = ("110110101", "101011011")
 WINDOW, AGREE = 13, 0.8
 #: An item of fewer words gives no evidence: such phrases occur by chance.
@@ -44,21 +47,20 @@ def _seeds(rows: DataFrame, key: str, h: str, masks: dict[int, str]) -> DataFram
     return each.select(key, F.posexplode("__seeds").alias("pos", "seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = SEEDS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """(doc, item, matched): each document that overlaps an item, with the most words that agree on one alignment."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text).cast("string")).alias("b")).where(F.size("b") >= LEAST_WORDS)
     items = cut(items)
-    span = max(map(len, masks))
-    spaced = dict(enumerate(masks))
-    whole = {len(masks) + r.n: "1" * r.n for r in items.select(F.size("b").alias("n")).where(F.col("n") < span).distinct().collect()}  # fewer than span lengths
-    known = _seeds(items.where(F.size("b") >= span), "item", "b", spaced)
-    for number, mask in whole.items():
-        known = known.unionByName(_seeds(items.where(F.size("b") == len(mask)), "item", "b", {number: mask}))
+    spaced, short = dict(enumerate(masks)), {}
+    known = _seeds(items.where(F.size("b") >= window), "item", "b", spaced)
+    if not (few := items.where(F.size("b") < window)).isEmpty():
+        short = {len(masks) + n: m for n, m in enumerate(SHORT_SEEDS)}
+        known = known.unionByName(_seeds(few, "item", "b", short))
     known = cut(known.select("item", F.col("pos").alias("at"), "seed"))
     n = known.count()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).where("t is not null and doc is not null")
     hashed = lambda df: df.select("doc", word_hashes(F.col("t")).alias("d"))
-    found = _seeds(hashed(texts), "doc", "d", spaced | whole).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
+    found = _seeds(hashed(texts), "doc", "d", spaced | short).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
     hits = cut(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("off")).distinct())
     m = hits.count()
     near = hits.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 10 else items, "item")

@@ -1,10 +1,15 @@
 """Operators on small tables with every odd case: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import itertools
+import math
+import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +170,43 @@ def test_decontamination(spark, docs, cases):
     assert decontam.overlaps(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_misses_no_overlap(spark):
+    """Every change that leaves 80 % of an item is found, and no change of one word more."""
+    rng, items, texts = random.Random(16), [], []
+    for n in range(decontam.LEAST_WORDS, 14):
+        words, most = [f"w{n}x{j}" for j in range(n)], n - math.ceil(decontam.AGREE * n)
+        items.append((n, " ".join(words)))
+        for k, good in ((most, True), (most + 1, False)):
+            for gone in itertools.combinations(range(n), k) if good else [rng.sample(range(n), k)]:
+                texts.append((f"uno dos {' '.join('other' if j in gone else w for j, w in enumerate(words))} tres", n if good else None))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = decontam.overlaps(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, n) for i, (_, n) in enumerate(texts) if n}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_decontamination_equals_search_without_seeds(spark):
+    docs, bench = (queries.read(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    ids: dict[str, int] = {}
+
+    def words(text):
+        clean = "".join(c for c in (text or "").lower() if c in " \t\n\x0b\f\r" or unicodedata.category(c)[0] in "LN")
+        return np.array([ids.setdefault(w, len(ids)) for w in clean.split()], int)
+
+    expected, items = set(), [(r.item_id, words(r.text)) for r in bench.collect()]
+    for r in docs.select("doc_id", "text").collect():
+        d = words(r.text)
+        for item, b in items:
+            w = min(decontam.WINDOW, len(b))
+            if len(b) >= decontam.LEAST_WORDS and len(d) >= w:
+                ext = np.concatenate([np.full(len(b), -1), d, np.full(len(b), -1)])
+                same = np.lib.stride_tricks.sliding_window_view(ext, len(b)) == b
+                sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), 1)
+                if (sums[:, w:] - sums[:, :-w]).max() >= math.ceil(decontam.AGREE * w):
+                    expected.add((r.doc_id, item))
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == expected and expected
+
+
 def brute_components(cases, width):
     def sets(t):
         w = (t or "").encode().lower().split()
