@@ -81,7 +81,7 @@ def minimizers(spark, d):
 
 
 def index_postings(spark, d):
-    return seeds.postings(_minis(spark, d)).where("occ > 1").select("hash", "occ", F.element_at("places", 1)["read_id"].alias("first_read"), F.element_at("places", -1)["read_id"].alias("last_read"), F.size("places").cast("long").alias("n_places"))
+    return seeds.postings(_minis(spark, d)).select("hash", "occ", F.element_at("places", 1)["read_id"].alias("first_read"), F.element_at("places", -1)["read_id"].alias("last_read"), F.size("places").cast("long").alias("n_places"))
 
 
 def index_key_stats(spark, d):
@@ -94,7 +94,8 @@ def occ_quantile(spark, d):
 
 def offset_asof_join(spark, d):
     reads = fasta.with_offsets(_reads(spark, d)).select("read_id", "len", "cum_off")
-    points = load(spark, d, "SELECT DISTINCT (l_orderkey * 31 + l_partkey * 17) % 3000000 + 1 AS gpos FROM {lineitem}")
+    total = reads.agg(F.sum(F.col("len").cast("long"))).first()[0] or 1
+    points = load(spark, d, f"SELECT DISTINCT (l_orderkey * 31 + l_partkey * 17) * 1000003 % {total} + 1 AS gpos FROM {{lineitem}}")  # over the whole text
     return ordered.offset_join(points, reads).select("gpos", "read_id", "pos")
 
 
@@ -287,9 +288,9 @@ def id_set_difference(spark, d):
 
 
 def order_statistic(spark, d):
-    """The price at the middle place."""
+    """The price at the middle place, of two the upper."""
     rows = load(spark, d, "SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM {lineitem}")
-    return selection.kth_smallest(rows, "cents", 3000)
+    return selection.kth_smallest(rows, "cents", rows.where("cents is not null").count() // 2)
 
 
 def random_sample(spark, d):

@@ -45,3 +45,32 @@ def test_kmers_of_all_places(spark, tmp_path):
                 expected[read_id, forward, reverse, min(forward, reverse), int(forward > reverse)] += 1
     got = rows_of(catalogue.queries()["kmer_canonical"](spark, str(tmp_path)), ["read_id", "forward", "reverse", "value", "strand"])
     assert got == expected and {r[0] for r in got} == {3, 4, 5, 6}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_index_postings_hold_every_key(spark):
+    names, expected = by_sql(catalogue.oracle_sql()["index_postings"].replace("HAVING count(*) > 1", ""))
+    assert rows_of(catalogue.queries()["index_postings"](spark, SF), names) == expected
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_order_statistic_is_the_middle(spark, tmp_path):
+    for table in (SF, str(tmp_path)):
+        rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+        if table != SF:
+            rows = rows.where("l_linenumber <= 2")
+            rows.write.parquet(f"{table}/lineitem.parquet")
+        cents = sorted(round(r[0] * 100) for r in rows.select("l_extendedprice").collect())
+        assert [r.value for r in catalogue.queries()["order_statistic"](spark, table).collect()] == [cents[len(cents) // 2]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_offset_points_cover_the_text(spark):
+    got = [tuple(r) for r in catalogue.queries()["offset_asof_join"](spark, SF).collect()]
+    starts, end, lengths = {}, 0, {}
+    for read_id, n in sorted(tuple(r) for r in load(spark, SF, READS).select("read_id", "len").collect()):
+        starts[read_id], lengths[read_id], end = end, n, end + n
+    keys = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    assert {g for g, *_ in got} == {(int(a) * 31 + int(b) * 17) * 1000003 % end + 1 for a, b in keys}
+    assert all(g == starts[r] + at and 0 < at <= lengths[r] for g, r, at in got)
+    assert min(g for g, *_ in got) < end / 100 and max(g for g, *_ in got) > end * 0.99
