@@ -2,8 +2,8 @@
 
 For each host (the ``source`` of documents) the pages that contain a line are counted and divided by the host's pages;
 a line whose share exceeds ``ratio`` is boilerplate of that host and dropped from its pages. Lines are counted by a
-96-bit hash, once a page, with partial sums before the shuffle. A host of fewer than ``least_pages`` pages, or a line on
-fewer than ``least_copies`` pages, gives no evidence.
+96-bit hash, once a page, with partial sums before the shuffle. A line on fewer than ``least_copies`` pages gives no
+evidence; hosts of every size are judged by the same ratio.
 
 A host can have at most (mean lines a page) / ratio boilerplate lines. They are sent to its pages as one array: by
 broadcast up to ``BROADCAST_ROWS`` rows, else by a join on the host and a salt, as one host may hold a third of all rows.
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
-RATIO, LEAST_PAGES, LEAST_COPIES = 0.08, 20, 4
+RATIO, LEAST_COPIES = 0.08, 4
+#: Of the SQL only.
+LEAST_PAGES = 20
 BROADCAST_ROWS, SALTS = 200_000, 64
 
 
@@ -26,19 +28,19 @@ def _key(line) -> object:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_copies: int = LEAST_COPIES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_copies: int = LEAST_COPIES) -> DataFrame:
     """(host, a, b, pages, share): the boilerplate lines of each host, by hash."""
     rows = pages.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
+    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
     lines = rows.select("host", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "")
     counts = lines.select("host", _key(F.col("line")).alias("k")).groupBy("host", "k").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_copies)
     share = F.col("pages") / F.col("total")
     return counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(share > ratio).select("c.host", "k.a", "k.b", "pages", share.alias("share"))
 
 
-def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_copies: int = LEAST_COPIES) -> DataFrame:
+def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_copies: int = LEAST_COPIES) -> DataFrame:
     """``pages`` with the text's boilerplate lines dropped, and the columns n_lines and n_dropped (long)."""
-    found = cut(boilerplate(pages, host_col, text_col, ratio, least_pages, least_copies))
+    found = cut(boilerplate(pages, host_col, text_col, ratio, least_copies))
     n = found.count()
     arrays = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__drop")).withColumnRenamed("host", "__host")
     same = F.col("__p").eqNullSafe(F.col("__host"))

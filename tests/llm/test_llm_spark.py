@@ -147,6 +147,13 @@ def test_line_dedup(spark, docs, cases):
     assert table(linededup.drop_lines(df).select("doc_id", "source", "text", "n_lines", "n_dropped")) == expected
 
 
+def test_line_dedup_judges_small_hosts(spark):
+    rows = [(100 * n + i, f"h{n}", f"menu\nown {i}") for n in (3, 4, 19) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in linededup.drop_lines(df).collect()}
+    assert got == {i: t if h == "h3" else t[5:] for i, h, t in rows}
+
+
 def test_decontamination(spark, docs, cases):
     rng = random.Random(6)
     items = [(i, prose(rng, n)) for i, n in enumerate((40, 20, 15, 7, 3))] + [(9, None), (10, "")]
