@@ -2,8 +2,8 @@
 
 Fit (on a bounded, documented sample of labelled rows): document frequencies of words and word beginnings in toxic and
 other rows give log-odds with an informative Dirichlet prior (the pooled frequencies); only significant ones are kept.
-The sample's other half gives the distribution of token scores in ordinary text, from which the Karlin-Altschul
-constants follow, and a logistic curve from a document's statistic to a probability.
+The sample's other half gives the distribution of token scores in ordinary text, from which the Karlin-Altschul lambda
+follows (2 at most), the best segments of ordinary rows, of which K is the likeliest (0.1 if there are none), and a logistic curve from a document's statistic to a probability.
 
 Scan: every token scores its log-odds less a drift; one linear pass finds all maximal segments of positive score
 (Ruzzo and Tompa), whatever the text's length. A segment's normalised score is lambda*S - ln(K*n); what exceeds 0 is
@@ -132,6 +132,12 @@ def karlin(values: np.ndarray, weights: np.ndarray) -> float:
     return low
 
 
+def karlin_k(lam: float, n: np.ndarray, best: np.ndarray) -> float | None:
+    """The likeliest K if P(best segment of n tokens <= x) = exp(-K n exp(-lambda x)); a best of 0 is a text without one."""
+    found = int(((best > 0) & (n > 0)).sum())
+    return found / float((n * np.exp(-lam * best)).sum()) if found else None
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Intercept and slope by Newton steps with a small ridge."""
     z, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
@@ -159,6 +165,8 @@ def fit(labelled: DataFrame, params: Params = Params(), text_col: str = "text",
     tokens = sum(r.n for r in got if r.y == 0)
     values, counts = np.unique(np.round(positive, 2), return_counts=True)
     model.lam = min(2.0, karlin(np.append(values, -params.drift), np.append(counts, max(tokens - len(positive), 1)).astype(float)))
+    plain = [(r.n, max(r.segments, default=0.0)) for r in got if r.y == 0]
+    model.k = karlin_k(model.lam, *np.array(plain, float).reshape(-1, 2).T) or model.k
     stats = [sum(max(0.0, model.lam * s - math.log(max(model.k * r.n, 1e-9))) for s in r.segments) for r in got]
     y = np.array([r.y for r in got], float)
     model.curve = logistic(np.log1p(np.array(stats)), y) if 0 < y.sum() < len(y) else (math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), 0.0)

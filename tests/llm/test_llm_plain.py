@@ -107,6 +107,15 @@ def test_karlin():
     assert toxicity.karlin(np.array([1.0]), np.array([1.0])) == 0.1
 
 
+def test_karlin_k():
+    rng = np.random.default_rng(5)
+    n = rng.integers(20, 400, 20000).astype(float)
+    for lam, k in ((0.7, 0.02), (2.0, 0.3)):
+        best = np.maximum(0.0, (np.log(k * n) - np.log(rng.exponential(size=len(n)))) / lam)
+        assert abs(toxicity.karlin_k(lam, n, best) / k - 1) < 0.05
+    assert toxicity.karlin_k(1.0, n, 0 * n) is None
+
+
 def test_html():
     w = html_extract.weights_of({})
     page = (
