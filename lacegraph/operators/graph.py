@@ -11,16 +11,20 @@ from ..functions.scalar import twin
 from .coverage import classified
 
 
-def palindromes(hits: DataFrame) -> DataFrame:
-    """(read_id) of reads whose hit with themselves covers the same place in reverse."""
-    return hits.where("qid = tid and rev and qs = ts and qe = te").select(F.col("qid").alias("read_id")).distinct()
+def palindromes(rows: DataFrame) -> DataFrame:
+    """(read_id) of reads with a dovetail on themselves that covers the same place in reverse, from classified hits."""
+    same = (F.col("class") == overlap.DOVETAIL) & F.expr("qid = tid and rev and qs = ts and qe = te")
+    return rows.where(same).select(F.col("qid").alias("read_id")).distinct()
 
 
 def arcs(hits: DataFrame, lengths: DataFrame, options: Options = Options()) -> DataFrame:
-    """Arcs of the dovetails between different, unmarked reads (those contained or palindromic are marked)."""
+    """Arcs of the dovetails between different, unmarked reads; contained queries and palindromes are marked.
+
+    A contained target is marked by the mirrored hit, in which it is the query.
+    """
     rows = classified(hits, lengths, options.max_hang, options.int_fraction, options.min_overlap)
-    marked = rows.select(F.when(F.col("class") == overlap.QUERY_CONTAINED, F.col("qid")).when(F.col("class") == overlap.TARGET_CONTAINED, F.col("tid")).alias("read_id")).where("read_id is not null")
-    gone = marked.unionByName(palindromes(hits)).distinct()
+    marked = rows.where(F.col("class") == overlap.QUERY_CONTAINED).select(F.col("qid").alias("read_id"))
+    gone = marked.unionByName(palindromes(rows)).distinct()
     found = rows.where((F.col("class") == overlap.DOVETAIL) & (F.col("qid") != F.col("tid"))).select("u", "v", "l", "ol")
     return without_reads(found, gone)
 

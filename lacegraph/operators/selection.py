@@ -26,7 +26,8 @@ def kth_smallest(df: DataFrame, column: str, place: int) -> DataFrame:
 
 def shuffled_order(df: DataFrame, key: str, seed: int = 11) -> DataFrame:
     """``df`` with a reproducible random place in [0, 1) for each key."""
-    return df.withColumn("place", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.withColumn("place", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48))
 
 
 def sample_rows(df: DataFrame, key: str, size: int, seed: int = 11) -> DataFrame:

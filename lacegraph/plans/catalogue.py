@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Options
 from ..functions import scalar
 from ..operators import chain, coverage, graph, ordered, seeds, selection, simplify, sketch
 from ..operators.components import components
 from ..operators.grouped import map_groups
-from ..session import cut
+from ..session import Scratch, cut
 from ..sources import fasta, gfa
 from . import oracles, pipeline
 from .inputs import ARCS, HITS, INNER_SUBS, LENGTHS, LOOSE_ARCS, READS, SEEDS, SUBS, load
@@ -32,9 +33,10 @@ def _sketched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fasta_reads(spark, d):
-    docs = _reads(spark, d)
-    lines = ordered.ordinal(docs, "read_id", "n").select("n", F.posexplode(F.array(F.concat(F.lit(">"), "header"), "seq")).alias("at", "value"))
-    return fasta.records(lines.select((F.col("n") * 2 + F.col("at")).alias("line_no"), "value"))
+    """Documents written as files of records and read again."""
+    with Scratch(spark) as scratch:
+        fasta.write_fasta(_reads(spark, d), f"{scratch.root}/reads")
+        return cut(fasta.read_fasta(spark, f"{scratch.root}/reads").select("read_id", "header", "seq", "len", "file_off"))
 
 
 def read_prefix_offsets(spark, d):
@@ -121,12 +123,17 @@ def lis_chain(spark, d):
 
 
 def chain_gap_split(spark, d):
-    """Gaps of sorted seeds beyond 1000 on both axes, as the chains are split."""
+    """Chains of one seed a query place, split at gaps beyond 1000 on both axes."""
     rows = load(spark, d, SEEDS).groupBy("qid", "tid", "rev", "qpos").agg(F.min("rpos").alias("rpos"))
-    w = Window.partitionBy("qid", "tid", "rev").orderBy("qpos")
-    gap = (F.col("qpos") - F.lag("qpos").over(w) > 1000) & (F.abs(F.col("rpos") - F.lag("rpos").over(w)) > 1000)
-    parts = rows.withColumn("part", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w).cast("long"))
-    return parts.groupBy("qid", "tid", "rev", "part").agg(F.count("*").alias("cnt"), F.min("qpos").alias("qs"), F.max("qpos").alias("qe"), F.min("rpos").alias("rs"), F.max("rpos").alias("re"))
+    names = ["qid", "tid", "rev", "part", "cnt", "qs", "qe", "rs", "re"]
+
+    def one(g):
+        pieces = chain.split_at_gaps(np.arange(len(g["qpos"])), g["qpos"], g["rpos"], 1000)
+        spans = [(len(c), g["qpos"][c].min(), g["qpos"][c].max(), g["rpos"][c].min(), g["rpos"][c].max()) for c in pieces]
+        rows = [(int(g["qid"][0]), int(g["tid"][0]), bool(g["rev"][0]), i, *map(int, x)) for i, x in enumerate(spans)]
+        return {n: [r[i] for r in rows] for i, n in enumerate(names)}
+
+    return map_groups(rows, ["qid", "tid", "rev"], ["qpos"], one, "qid long, tid long, rev boolean, part long, cnt long, qs int, qe int, rs int, re int", names)
 
 
 def interval_union_len(spark, d):
@@ -160,7 +167,7 @@ def depth_regions_clipped(spark, d):
 
 
 def mean_depth(spark, d):
-    return coverage.mean_depth(load(spark, d, HITS))
+    return coverage.mean_depth(load(spark, d, HITS), load(spark, d, LENGTHS))
 
 
 def hit_cut(spark, d):

@@ -17,14 +17,16 @@ READS = f"SELECT doc_id AS read_id, translate(lower(text), concat('{_FROM}', chr
 
 LENGTHS = "SELECT DISTINCT l_partkey % 997 AS read_id, CAST(12000 + (l_partkey % 997) * 7 % 1500 AS INT) AS len FROM {lineitem} UNION SELECT DISTINCT l_orderkey % 997 AS read_id, CAST(12000 + (l_orderkey % 997) * 7 % 1500 AS INT) AS len FROM {lineitem}"
 
-_RAW = """SELECT l_orderkey % 997 AS qid, l_partkey % 997 AS tid, l_linenumber % 4 AS k, 2000 + (l_orderkey * 13 + l_linenumber * 7) % 5000 AS span,
+_RAW = """SELECT l_orderkey % 997 AS qid, l_partkey % 997 AS tid, CASE WHEN l_linenumber % 4 = 2 AND l_partkey % 997 % 3 > 0 THEN 0 WHEN l_orderkey % 997 = l_partkey % 997 THEN 1 ELSE l_linenumber % 4 END AS k, 2000 + (l_orderkey * 13 + l_linenumber * 7) % 5000 AS span,
 12000 + (l_orderkey % 997) * 7 % 1500 AS ql, 12000 + (l_partkey % 997) * 7 % 1500 AS tl, (l_orderkey * 3 + l_suppkey) % 1200 AS a, (l_partkey * 5 + l_linenumber) % 900 AS b,
 (l_suppkey * 37 + l_linenumber * 911 + l_orderkey) % 5000 AS x, (l_partkey * 53 + l_orderkey) % 5000 AS y, l_linenumber AS n FROM {lineitem}"""
-#: Dovetails on one strand and on opposite ones, containments and inner matches, with overhangs of up to 1200.
+#: Dovetails on one strand and on opposite ones, containments and inner matches, with overhangs of up to 1200. Only reads
+#: divisible by 3 are contained, so that others survive at every scale; hits of a read with itself are reverse dovetails,
+#: some of them palindromic.
 HITS = f"""SELECT qid, CAST(CASE k WHEN 2 THEN a % 200 WHEN 3 THEN x ELSE ql - span - a END AS INT) AS qs,
 CAST(CASE k WHEN 2 THEN ql - b % 200 WHEN 3 THEN x + span ELSE ql - a END AS INT) AS qe, tid,
-CAST(CASE k WHEN 0 THEN b WHEN 1 THEN tl - span - b WHEN 2 THEN 0 ELSE y END AS INT) AS ts,
-CAST(CASE k WHEN 0 THEN b + span WHEN 1 THEN tl - b WHEN 2 THEN tl - a % 100 ELSE y + span END AS INT) AS te,
+CAST(CASE WHEN k = 1 AND qid = tid AND n % 2 = 0 THEN ql - span - a WHEN k = 0 THEN b WHEN k = 1 THEN tl - span - b WHEN k = 2 THEN 0 ELSE y END AS INT) AS ts,
+CAST(CASE WHEN k = 1 AND qid = tid AND n % 2 = 0 THEN ql - a WHEN k = 0 THEN b + span WHEN k = 1 THEN tl - b WHEN k = 2 THEN tl - a % 100 ELSE y + span END AS INT) AS te,
 k = 1 OR (k = 3 AND x % 2 = 0) AS rev, CAST(floor(span * (1 + n) / 40.0) AS INT) AS ml, CAST(span AS INT) AS bl FROM ({_RAW}) raw"""
 
 SUBS = "SELECT read_id, CAST((read_id * 11) % 1500 AS INT) AS s, CAST(12000 - (read_id * 17) % 2500 AS INT) AS e, read_id % 41 = 0 AS del FROM (SELECT DISTINCT l_partkey % 997 AS read_id FROM {lineitem} UNION SELECT DISTINCT l_orderkey % 997 AS read_id FROM {lineitem}) ids"

@@ -90,11 +90,38 @@ UNION ALL SELECT f.u, f.i + 1, CASE WHEN list_contains(f.gone, s.w) THEN f.gone
 gone AS (SELECT u, unnest(gone) AS v FROM fold WHERE i = n)"""
 
 
+#: CTEs that end in utg(utg_id, len, circ, start, stop, path, pieces, first): heads of simple paths are walked to their ends, circles
+#: from each of their vertices; of a path and its twin that with the lowest vertex stays.
+_UNITIGS = f"""WITH RECURSIVE arcs AS ({ARCS}), deg AS (SELECT u, count(*) AS n FROM arcs GROUP BY u),
+single AS (SELECT a.u, a.v, a.l FROM arcs a JOIN deg d ON d.u = a.u AND d.n = 1 JOIN deg b ON b.u = {_TWIN('a.v')} AND b.n = 1),
+vs AS (SELECT u AS x FROM arcs UNION SELECT v FROM arcs), heads AS (SELECT x FROM vs WHERE x NOT IN (SELECT v FROM single)),
+lin AS (SELECT x AS cur, [x] AS path, []::INT[] AS steps FROM heads UNION ALL SELECT s.v, list_append(path, s.v), list_append(steps, s.l) FROM lin JOIN single s ON s.u = cur),
+whole AS (SELECT path, list_append(steps, 12000) AS pieces, false AS circ FROM lin WHERE cur NOT IN (SELECT u FROM single)),
+rest AS (SELECT u AS x FROM single WHERE u NOT IN (SELECT unnest(path) FROM whole)),
+cyc AS (SELECT x AS top, x AS cur, [x] AS path, []::INT[] AS steps, false AS shut FROM rest UNION ALL SELECT top, s.v, CASE WHEN s.v = top THEN path ELSE list_append(path, s.v) END, list_append(steps, s.l), s.v = top FROM cyc JOIN single s ON s.u = cur WHERE NOT shut),
+every AS (SELECT row_number() OVER () AS i, * FROM (SELECT * FROM whole UNION ALL SELECT path, steps, true FROM cyc WHERE shut AND list_min(path) = top)),
+seen AS (SELECT i, unnest(path) AS x FROM every), own AS (SELECT i, min(x) AS own FROM seen WHERE x IN (SELECT u FROM deg) GROUP BY i), other AS (SELECT i, min({_TWIN('x')}) AS other FROM seen WHERE {_TWIN('x')} IN (SELECT u FROM deg) GROUP BY i),
+low AS (SELECT every.*, own, other FROM every LEFT JOIN own USING (i) LEFT JOIN other USING (i)),
+utg AS (SELECT (row_number() OVER (ORDER BY own) - 1)::INT AS utg_id, list_sum(pieces)::INT AS len, circ, CASE WHEN NOT circ THEN path[1] END AS start, CASE WHEN NOT circ THEN {_TWIN('path[-1]')} END AS stop, path, pieces FROM low WHERE own IS NOT NULL AND (other IS NULL OR own <= other) QUALIFY row_number() OVER (PARTITION BY own ORDER BY circ) = 1)"""
+
+#: CTE bodies after _UNITIGS: link(u, v, l, ol) between ends of linear unitigs.
+_LINKS = f"""ends AS (SELECT start AS x, utg_id::BIGINT * 2 AS t FROM utg WHERE NOT circ UNION ALL SELECT stop, utg_id::BIGINT * 2 + 1 FROM utg WHERE NOT circ),
+link AS (SELECT {_TWIN('a.t')} AS u, b.t AS v, (CASE WHEN o.len < arcs.ol THEN 1 ELSE o.len - arcs.ol END)::INT AS l, arcs.ol FROM arcs JOIN ends a ON a.x = {_TWIN('arcs.u')} JOIN ends b ON b.x = arcs.v JOIN utg o ON o.utg_id = a.t // 2)"""
+
+_SIGN = lambda x: f"CASE WHEN {x} % 2 = 1 THEN '-' ELSE '+' END"
+_LINES = f"""name AS (SELECT *, printf('utg%06d%s', utg_id + 1, CASE WHEN circ THEN 'c' ELSE 'l' END) AS name FROM utg),
+part AS (SELECT name, unnest(path) AS x, unnest(pieces) AS n, unnest(list_transform(range(1, len(pieces) + 1), lambda i: coalesce(list_sum(pieces[1:i - 1]), 0))) AS off FROM name),
+deg2 AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT concat_ws(chr(9), 'S', name, '*', 'LN:i:' || len) AS line FROM name
+UNION ALL SELECT concat_ws(chr(9), 'a', name, off::BIGINT, printf('Read-%06d:1-12000', x // 2), {_SIGN('x')}, n) FROM part
+UNION ALL SELECT concat_ws(chr(9), 'L', a.name, {_SIGN('link.u')}, b.name, {_SIGN('link.v')}, ol || 'M', 'SD:i:' || l) FROM link JOIN name a ON a.utg_id = link.u // 2 JOIN name b ON b.utg_id = link.v // 2
+UNION ALL SELECT CASE WHEN circ THEN concat_ws(chr(9), 'x', name, len, len(path)) ELSE concat_ws(chr(9), 'x', name, len, len(path), coalesce(r.n, 0), coalesce(f.n, 0), printf('Read-%06d:1-12000', start // 2), {_SIGN('start')}, printf('Read-%06d:1-12000', stop // 2), {_SIGN('stop')}) END FROM name LEFT JOIN deg2 r ON r.u = utg_id::BIGINT * 2 + 1 LEFT JOIN deg2 f ON f.u = utg_id::BIGINT * 2"""
+
+
 def sql() -> dict[str, str]:
     m = f"WITH {_minimizers()}"
     strict = _class(HITS, LENGTHS, 1000, 0.8, 2000)
-    gone = f"SELECT DISTINCT CASE class WHEN 'QCONT' THEN qid ELSE tid END AS read_id FROM ({_class(HITS, LENGTHS, 1000, 0.8, 2000, 'ml % 37 = 0')}) WHERE class IN ('QCONT', 'TCONT')"
-    some = _class(HITS, LENGTHS, 1000, 0.8, 2000, "ml % 11 = 0")
+    gone = f"SELECT DISTINCT CASE class WHEN 'QCONT' THEN qid ELSE tid END AS read_id FROM ({_class(HITS, LENGTHS, 1000, 0.8, 2000)}) WHERE class IN ('QCONT', 'TCONT')"
     cut = f"""SELECT qid, tid, rev, ml, bl, (greatest(qs + CASE WHEN rev THEN greatest(0, te - te0) ELSE greatest(0, ts0 - ts) END, qs0) - qs0)::INT AS qs,
 (least(qe - CASE WHEN rev THEN greatest(0, ts0 - ts) ELSE greatest(0, te - te0) END, qe0) - qs0)::INT AS qe,
 (greatest(ts + CASE WHEN rev THEN greatest(0, qe - qe0) ELSE greatest(0, qs0 - qs) END, ts0) - ts0)::INT AS ts,
@@ -110,19 +137,17 @@ rest AS (SELECT a.* FROM ({ARCS}) a ANTI JOIN short USING (u, v))"""
 f AS (SELECT i, read_id, 0 AS block, len::BIGINT AS size FROM r WHERE i = 1 UNION ALL SELECT r.i, r.read_id, CASE WHEN size + len > 65536 THEN block + 1 ELSE block END, CASE WHEN size + len > 65536 THEN len ELSE size + len END FROM f JOIN r ON r.i = f.i + 1)
 SELECT block::INT AS block_id, min(read_id) AS first_read, count(*)::INT AS n_reads FROM f GROUP BY block""",
         "nt4_encode": f"SELECT (CASE WHEN b = 'a' THEN 0 WHEN b = 'c' THEN 1 WHEN b = 'g' THEN 2 WHEN b IN ('t', 'u') THEN 3 ELSE 4 END)::INT AS code, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS b FROM ({READS}) WHERE length(seq) > 0) GROUP BY 1",
-        "kmer_canonical": f"""WITH r AS (SELECT read_id, substring(seq, 1, 15) AS s FROM ({READS}) WHERE length(regexp_extract(seq, '^[acgt]*')) >= 15),
-b AS (SELECT read_id, unnest(range(15)) AS i, unnest(string_split(s, '')) AS c FROM r), k AS (SELECT read_id, sum(strpos('acgt', c) - 1 << (2 * (14 - i))::INT)::BIGINT AS forward, sum((4 - strpos('acgt', c)) << (2 * i)::INT)::BIGINT AS reverse FROM b GROUP BY read_id)
-SELECT read_id, forward, reverse, least(forward, reverse) AS value, (forward > reverse)::INT AS strand FROM k WHERE forward <> reverse""",
+        "kmer_canonical": f"{m} SELECT read_id, f AS forward, r AS reverse, least(f, r) AS value, (f > r)::INT AS strand FROM kmers WHERE p >= {K - 1} AND worst < 4 AND f <> r",
         "hash64_mix": """WITH a AS (SELECT DISTINCT (l_partkey * 7919 + l_suppkey) % 1073741824 AS x0 FROM lineitem), b AS (SELECT x0, ((~x0) + (x0 << 21)) & 1073741823 AS x FROM a), c AS (SELECT x0, xor(x, x >> 24) AS x FROM b), d AS (SELECT x0, (x * 265) & 1073741823 AS x FROM c),
 e AS (SELECT x0, xor(x, x >> 14) AS x FROM d), f AS (SELECT x0, (x * 21) & 1073741823 AS x FROM e), g AS (SELECT x0, xor(x, x >> 28) AS x FROM f) SELECT x0 AS x, (x + (x << 31)) & 1073741823 AS h FROM g""",
         "hash32_mix": f"SELECT x, {_h32('x')} AS h FROM (SELECT DISTINCT l_orderkey AS x FROM lineitem)",
         "pack_unpack": "SELECT DISTINCT l_orderkey AS high, l_partkey AS low, l_orderkey * 4294967296 + l_partkey AS packed, l_orderkey AS high_again, l_partkey AS low_again FROM lineitem",
         "minimizers": f"{m} SELECT read_id, pos, strand, hash FROM minis",
-        "index_postings": f"{m} SELECT hash, count(*) AS occ, min(read_id) AS first_read, max(read_id) AS last_read, count(*) AS n_places FROM minis GROUP BY hash HAVING count(*) > 1",
+        "index_postings": f"{m} SELECT hash, count(*) AS occ, min(read_id) AS first_read, max(read_id) AS last_read, count(*) AS n_places FROM minis GROUP BY hash",
         "index_key_stats": f"{m}, occ AS (SELECT count(*) AS c FROM minis GROUP BY hash) SELECT count(*) AS n_keys, count(*) FILTER (WHERE c = 1) AS n_single, coalesce(sum(c) FILTER (WHERE c > 1), 0)::BIGINT AS n_multi_values FROM occ",
         "occ_quantile": f"{m}, {_CAP} SELECT max_occ FROM cap",
         "offset_asof_join": f"""WITH r AS (SELECT read_id, len, coalesce(sum(len) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum_off FROM ({READS})),
-p AS (SELECT DISTINCT (l_orderkey * 31 + l_partkey * 17) % 3000000 + 1 AS gpos FROM lineitem) SELECT gpos, read_id, (gpos - cum_off)::INT AS pos FROM p JOIN r ON gpos > cum_off AND gpos <= cum_off + len""",
+p AS (SELECT DISTINCT (l_orderkey * 31 + l_partkey * 17) * 1000003 % (SELECT sum(len)::BIGINT FROM r) + 1 AS gpos FROM lineitem) SELECT gpos, read_id, (gpos - cum_off)::INT AS pos FROM p JOIN r ON gpos > cum_off AND gpos <= cum_off + len""",
         "seed_join": f"{m}, {_SEED_JOIN} SELECT qid, tid, rev, diag, j, qpos, rpos FROM seeds",
         "seed_diagonal": f"SELECT qid, tid, rev, qpos, rpos, (CASE WHEN rev THEN rpos + qpos ELSE 2147483648 + rpos - qpos END)::BIGINT AS diag FROM ({SEEDS})",
         "seed_clusters": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY qid, tid, rev ORDER BY diag, j, rpos, qpos) AS rn FROM ({SEEDS})),
@@ -137,16 +162,17 @@ p AS (SELECT *, sum(gap::INT) OVER (PARTITION BY qid, tid, rev ORDER BY qpos ROW
         "hits_mirrored": f"SELECT qid, qs, qe, tid, ts, te, rev, ml, bl FROM ({HITS}) UNION ALL SELECT tid, ts, te, qid, qs, qe, rev, ml, bl FROM ({HITS}) WHERE qid <> tid",
         "depth_regions": _depth_out(0),
         "depth_regions_clipped": _depth_out(1000),
-        "mean_depth": f"""{_depth(0)}, seg AS (SELECT qid, dp, pos, lead(pos) OVER (PARTITION BY qid ORDER BY i) AS nxt FROM run) SELECT coalesce(sum(nxt - pos), 0)::BIGINT AS tot_len, coalesce(sum((nxt - pos) * dp), 0)::BIGINT AS tot_dp, coalesce(sum((nxt - pos) * dp)::DOUBLE / nullif(sum(nxt - pos), 0)::DOUBLE, 0) AS cov FROM seg WHERE dp >= 3 AND nxt IS NOT NULL""",
+        "mean_depth": f"""WITH k AS (SELECT * FROM ({_class(HITS, LENGTHS, 1500, 0.5, 1000)}) WHERE class IN ('ARC', 'QCONT', 'TCONT')),
+t AS (SELECT sum(CASE class WHEN 'ARC' THEN l WHEN 'QCONT' THEN ql ELSE tl END)::BIGINT AS tot_dp FROM k), n AS (SELECT sum(ql)::BIGINT AS tot_len FROM (SELECT DISTINCT qid, ql FROM k)) SELECT tot_len, tot_dp, tot_dp::DOUBLE / tot_len::DOUBLE AS cov FROM t, n""",
         "hit_cut": f"SELECT * FROM ({cut}) WHERE qe - qs >= 2000 AND te - ts >= 2000",
         "sub_merge": f"SELECT a.read_id, (a.s + coalesce(b.s, 0))::INT AS s, (a.s + coalesce(b.e, 0))::INT AS e, a.del FROM ({SUBS}) a LEFT JOIN ({INNER_SUBS}) b ON a.read_id = b.read_id",
         "hit_filter_relaxed": f"SELECT qid, qs, qe, tid, ts, te, rev, ml, bl FROM ({_class(HITS, LENGTHS, 1500, 0.5, 1000)}) WHERE class IN ('ARC', 'QCONT', 'TCONT')",
         "overlap_class": strict,
         "contained_reads": gone,
-        "used_reads": f"SELECT qid AS read_id FROM ({HITS}) WHERE bl % 50 = 3 UNION SELECT tid FROM ({HITS}) WHERE bl % 50 = 3",
+        "used_reads": f"SELECT qid AS read_id FROM ({HITS}) UNION SELECT tid FROM ({HITS})",
         "survivor_renumber": f"""WITH gone AS ({gone}), hits AS ({HITS}), live AS (SELECT read_id FROM ({LENGTHS}) WHERE read_id IN (SELECT qid FROM hits UNION SELECT tid FROM hits) AND read_id NOT IN (SELECT read_id FROM gone)),
 ids AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS i FROM live) SELECT a.i AS qid, b.i AS tid, qs, qe, ts, te, rev, ml, bl FROM hits JOIN ids a ON a.read_id = qid JOIN ids b ON b.read_id = tid""",
-        "string_graph_arcs": f"""WITH c AS ({some}), gone AS (SELECT CASE class WHEN 'QCONT' THEN qid ELSE tid END AS r FROM c WHERE class IN ('QCONT', 'TCONT') UNION SELECT qid FROM c WHERE qid = tid AND rev AND qs = ts AND qe = te)
+        "string_graph_arcs": f"""WITH c AS ({strict}), gone AS (SELECT qid AS r FROM c WHERE class = 'QCONT' OR (class = 'ARC' AND qid = tid AND rev AND qs = ts AND qe = te))
 SELECT u, v, l, ol FROM c WHERE class = 'ARC' AND qid <> tid AND qid NOT IN (SELECT r FROM gone) AND tid NOT IN (SELECT r FROM gone)""",
         "arc_multi_dedupe": f"WITH {_symm(LOOSE_ARCS)} SELECT * FROM one",
         "arc_symmetric": f"WITH {_symm(LOOSE_ARCS)} SELECT * FROM sym",
@@ -155,7 +181,11 @@ SELECT u, v, l, ol FROM c WHERE class = 'ARC' AND qid <> tid AND qid NOT IN (SEL
         "short_overlap_drop": f"WITH {short}, {_symm('SELECT * FROM rest')} SELECT * FROM sym",
         "vertex_end_type": f"""WITH arcs AS ({ARCS}), deg AS (SELECT u, count(*) AS n, min(v) AS nxt FROM arcs GROUP BY u), vs AS (SELECT u AS x FROM arcs UNION SELECT v FROM arcs UNION SELECT {_TWIN('u')} FROM arcs UNION SELECT {_TWIN('v')} FROM arcs)
 SELECT x AS vertex, coalesce(d.n, 0)::BIGINT AS degree, CASE WHEN d.n IS NULL THEN 'TIP' WHEN d.n > 1 THEN 'MULTI_OUT' WHEN coalesce(b.n, 0) > 1 THEN 'MULTI_NEI' ELSE 'MERGEABLE' END AS type FROM vs LEFT JOIN deg d ON d.u = x LEFT JOIN deg b ON b.u = {_TWIN('d.nxt')}""",
-        "order_statistic": "SELECT v AS value FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS i FROM lineitem) WHERE i = 3000",
+        "unitigs": f"{_UNITIGS} SELECT utg_id, len, circ, start, stop AS end, len(path) AS n_reads, path::VARCHAR AS vertices FROM utg",
+        "unitig_links": f"{_UNITIGS}, {_LINKS} SELECT u, v, l, ol FROM link",
+        "gfa_lines": f"{_UNITIGS}, {_LINKS}, {_LINES}",
+        "random_sample": "SELECT o_orderkey, o_custkey FROM orders ORDER BY substr(md5(concat(o_orderkey, ':11')), 1, 12), o_orderkey LIMIT 100",
+        "order_statistic": "SELECT v AS value FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS i FROM lineitem) WHERE i = (SELECT count(*) // 2 FROM lineitem)",
         "read_stats": f"SELECT count(*) AS n_reads, sum(len)::BIGINT AS bases, max(len) AS max_len FROM ({READS})",
         "vertex_degree": f"SELECT u AS vertex, count(*) AS degree FROM ({ARCS}) GROUP BY u",
         "linear_walk": f"""WITH RECURSIVE arcs AS ({ARCS}), deg AS (SELECT u, count(*) AS n, min(v) AS nxt FROM arcs GROUP BY u), vs AS (SELECT u AS x FROM arcs UNION SELECT v FROM arcs UNION SELECT {_TWIN('u')} FROM arcs UNION SELECT {_TWIN('v')} FROM arcs),
