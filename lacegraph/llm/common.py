@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_root, cut, ship
+from ..session import Scratch, cut, ship
 
 __all__ = ["Scratch", "cut", "lists_of", "map_arrow", "read"]
 
@@ -25,21 +24,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Compressed intermediate tables in the shared folder, removed once they are no longer read."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def give_back() -> None:
     """Return freed memory to the system: a worker process stays for later tasks of other stages."""
     gc.collect()
