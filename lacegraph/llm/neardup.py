@@ -6,16 +6,21 @@ sketches estimates a high similarity precisely, so most banded candidates fall w
 stay are confirmed on the full shingle sets.
 
 Groups of copies never meet pairwise. Equal sets are one class with one representative. In each band bucket every
-member is first compared with the bucket's hub, the member that shares most buckets; links make components; only buckets
-that still hold several components are searched for pairs of different components, best estimates first, and a pair is
-emitted in the first band that it shares only.
+member is first compared with the bucket's hub, the member that shares most buckets; links make components. Buckets that
+still hold several components are split by their members' rarest shingles: of two sets that are similar enough, the
+rarest shingles of the smaller one, 2p/(1+p) of it left out, and those of the larger one, p of it left out, have one in
+common (p the least similarity; any order of all shingles does). So members that share a template, but less than p,
+don't meet, however many they are, and no link is lost by the split.
 
 A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8. Its estimate, of standard deviation 0.02, falls below
-the last of ``STEPS`` with 6.3e-10 (the sketch's exact distribution), so the sketch loses far less than the bands do, and
-below ``HUB_LEAST`` with 1e-14.
+``LEAST`` with 6.3e-10 (the sketch's exact distribution), so the sketch loses far less than the bands do, and below
+``HUB_LEAST`` with 1e-14. With ``exact`` all sets, crowded or not, meet by their rarest shingles and no estimate is
+asked, so nothing is lost at all.
 
 Defined results: null and empty texts (and texts of white space) have an empty set, link with nothing and are kept; a
-text of fewer words than a shingle is one shingle; rows that share an id are one document; A-Z only are lower-cased.
+text of fewer words than a shingle is one shingle; very long texts are read whole; equal texts are linked, and of a
+group that with the smallest id is kept; rows that share an id are one document; a row without an id links with nothing;
+A-Z only are lower-cased; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import components as connected
-from .common import Scratch, cut, map_arrow
+from .common import Scratch, cut, lists_of, map_arrow
 
 SAMPLES, BANDS, BAND_ROWS, BITS = 512, 32, 4, 1024
-#: Estimated similarity from which a candidate is confirmed: loosely for hubs, in three steps for other pairs.
-HUB_LEAST, STEPS = 0.6, ((0.8, 1.0), (0.73, 0.8), (0.65, 0.73))
+#: Estimated similarity from which a candidate is confirmed: of a hub and of other pairs.
+HUB_LEAST, LEAST = 0.6, 0.65
+#: Rows of one id each, so at most a few megabytes.
 BROADCAST_ROWS = 500_000
 _WORDS_KEPT = 200_000
 
@@ -172,54 +178,92 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return map_arrow(both, make, "a long, b long", rows=256).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, h): a row for each distinct shingle of each text, and the size of its set."""
+
+    def make():
+        known: dict[bytes, int] = {}
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, width, known).view(np.int64) for t in batch.column(1).to_pylist()]
+            sizes = [len(s) for s in sets]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists_of(np.concatenate([np.zeros(0, np.int64), *sets]), sizes, pa.int64())], names=["id", "n", "h"])
+
+        return each
+
+    return map_arrow(texts.select("id", "text"), make, "id long, n long, h array<long>", rows=64).select("id", "n", F.explode("h").alias("h"))
+
+
+def rare_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of texts in different components that share one of their rarest shingles, as similar sets must.
+
+    A shingle's frequency among ``texts`` and its hash order all shingles; those of one text only come first and take
+    their places without a row. A shingle whose texts are of one component is left out, and texts of a shingle's largest
+    component don't meet each other.
+    """
+    rows = shingle_rows(texts, width)
+    often = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "h"))
+    least = lambda over, of: F.expr(f"n - ({over} * n + {of} - 1) div {of} + 1")
+    rare = rows.join(often, "h").withColumn("place", place).where(F.col("place") <= least(percent, 100))
+    rare = rare.select("id", "n", "h", (F.col("place") <= least(2 * percent, 100 + percent)).alias("inner"))
+    rare = cut(rare.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    sizes = rare.groupBy("h", "component").agg(F.count("*").alias("k"))
+    tops = sizes.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("m")).where("m > 1").select("h", "top")
+    rare = rare.join(tops, "h")
+    side = lambda df, x: df.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("inner").alias(f"i{x}"))
+    smaller = F.struct("na", "a") < F.struct("nb", "b")
+    both = side(rare.where("component <> top"), "a").join(side(rare, "b"), "h")
+    both = both.where((F.col("ca") != F.col("cb")) & _sizes("na", "nb", percent) & F.when(smaller, F.col("ia")).otherwise(F.col("ib")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(scratch, docs, width, percent, id_col, text_col, exact)
+
+
+def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, exact: bool) -> DataFrame:
     seen = scratch.put(features(docs, width, id_col, text_col), "features")
-    classes = cut(seen.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = cut(seen.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep")))
     reps = seen.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "n", "bands", "odd")
-    banded = reps.select("id", F.posexplode("bands").alias("band", "bucket")).distinct()
+    banded = reps.select("id", F.explode("bands").alias("bucket")).distinct()
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     kept = scratch.put(banded.join(crowded, "bucket"), "buckets")
-    active = cut(kept.select("id").distinct())
-    few = active.count() <= BROADCAST_ROWS
-    small = F.broadcast(active) if few else active
+    active = cut((reps if exact else kept).select("id").distinct())
+    small = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     texts = scratch.put(texts.join(small, "id"), "texts")
-    marks = scratch.put(reps.join(small, "id"), "marks")
+    marks = scratch.put(reps.select("id", "n", "odd").join(small, "id"), "marks")
+    m = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
+    estimated = lambda pairs, least: pairs.join(m("a"), "a").join(m("b"), "b").where(_sizes("na", "nb", percent) & (_bits("oa", "ob") <= most_bits(least)))
 
     shared = kept.groupBy("id").agg(F.sum("members").alias("shared"))
     hubs = kept.join(shared, "id").groupBy("bucket").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("hub"))
     stars = kept.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    m = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
-    stars = stars.join(m("a"), "a").join(m("b"), "b").where(_sizes("na", "nb", percent) & (_bits("oa", "ob") <= most_bits(HUB_LEAST)))
-    links = confirm(stars, texts, width, percent)
+    links = confirm(estimated(stars, HUB_LEAST), texts, width, percent)
     twice = seen.where("key is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
     if not twice.isEmpty():  # rows that share an id hold their classes together
         held = seen.join(twice, "id", "left_semi").select("id", "key").join(classes, "key").select("id", F.col("rep").alias("a")).distinct()
         links = links.unionByName(held.join(held.groupBy("id").agg(F.min("a").alias("b")), "id").where("a <> b").select("a", "b"))
     found = cut(components(cut(links)))
 
-    for low, high in STEPS:
-        labels = found.select("id", "component")
-        here = kept.select("id", "band", "bucket").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = active
+    if not exact:
+        here = kept.select("id", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        here = scratch.put(here.join(mixed, "bucket").join(marks, "id"), f"mixed{low}")
-        side = lambda x: here.select("bucket", "band", *(F.col(c).alias(c[0] + x) for c in ("id", "component", "n", "odd", "bands") if c != "bands"), F.col("bands").alias(f"keys{x}"))
-        bits = _bits("oa", "ob")
-        within = (bits <= most_bits(low)) & (bits > (most_bits(high) if high < 1 else -1))
-        first = F.array_position(F.zip_with("keysa", "keysb", lambda x, y: x == y), True) == F.col("band") + 1
-        pairs = side("a").join(side("b").drop("band"), "bucket").where((F.col("ia") < F.col("ib")) & (F.col("ca") != F.col("cb")) & _sizes("na", "nb", percent) & within & first)
-        more = cut(confirm(pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), texts, width, percent))
-        scratch.drop(f"mixed{low}")
-        if not more.isEmpty():
-            found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    result = seen.select("id", "n", "key").join(classes.select("key", "rep"), "key", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    result = cut(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")))
-    scratch.drop()
-    return result
+        rest = here.join(mixed, "bucket", "left_semi").select("id").distinct()
+    rest = scratch.put(texts.join(rest, "id", "left_semi"), "rest")
+    pairs = cut(rare_pairs(rest, found, width, percent))
+    more = cut(confirm(pairs if exact else estimated(pairs, LEAST), texts, width, percent))
+    if not more.isEmpty():
+        found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    component = F.coalesce("component", "id")
+    result = seen.select("id", "n", "key").join(named, "key", "left")
+    return cut(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")))
 
 
 def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

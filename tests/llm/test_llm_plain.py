@@ -156,7 +156,7 @@ def test_odd_sketch_estimates_high_similarity():
 
 def test_sketch_loses_less_than_bands():
     """The odd sketch's exact distribution at similarity 0.8: places of odd count after two throws a differing sample."""
-    n, bits, least = neardup.SAMPLES, neardup.BITS, neardup.STEPS[-1][0]
+    n, bits, least = neardup.SAMPLES, neardup.BITS, neardup.LEAST
     p, odd, lost = np.eye(1, bits + 1)[0], np.arange(bits + 1), 0.0
     for d in range(n + 1):
         lost += math.comb(n, d) * 0.2**d * 0.8 ** (n - d) * p[neardup.most_bits(least) + 1 :].sum()

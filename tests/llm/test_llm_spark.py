@@ -247,11 +247,37 @@ def test_near_duplicates(spark, docs, cases):
     rows += [(100 + i, prose(rng, 40)) for i in range(20)] + [(200 + i, rows[3][1]) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert table(neardup.near_duplicates(df, width=4)) == brute_components(rows, 4)
+    assert table(neardup.near_duplicates(df, width=4, exact=True)) == brute_components(rows, 4)
     assert neardup.near_duplicates(df.where("doc_id < 0")).count() == 0
     kept = neardup.drop_copies(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, _, k in brute_components(rows, 5) if k)
 
 
+def test_templates_make_few_pairs(spark):
+    """Texts that share a template below the least similarity don't meet, and those that link do."""
+    rng = random.Random(12)
+    template = prose(rng, 280)
+    rows = [(i, f"{template} {prose(rng, 120, tuple('abcdefgh'))}") for i in range(400)]
+    rows += [(1000 + i, t.replace(t.split()[7], "other", 1)) for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), 4, 80)
+    got = {tuple(r) for r in pairs.collect()}
+    assert {(i, 1000 + i) for i in range(5)} <= got and len(got) < 100
+    found = neardup.near_duplicates(df.withColumnRenamed("id", "doc_id"), width=4)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 1000 for i, _ in rows}
+
+
+def test_rare_pairs_miss_no_link(spark):
+    rng = random.Random(13)
+    for percent, words in ((80, 30), (50, 25), (80, 6)):
+        rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, words)))) for i in range(150)]
+        df = spark.createDataFrame(rows, "id long, text string")
+        got = {tuple(r) for r in neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), 2, percent).collect()}
+        sets = {i: frozenset(neardup.shingles(t, 2, {}).tolist()) for i, t in rows}
+        need = {(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert need <= got and need
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(500, 530)]
