@@ -10,7 +10,9 @@ member is first compared with the bucket's hub, the member that shares most buck
 still hold several components are split by their members' rarest shingles: of two sets that are similar enough, the
 rarest shingles of the smaller one, 2p/(1+p) of it left out, and those of the larger one, p of it left out, have one in
 common (p the least similarity; any order of all shingles does). So members that share a template, but less than p,
-don't meet, however many they are, and no link is lost by the split.
+don't meet, however many they are. Those that do are held to two bounds that no link exceeds: what the shingle's places
+leave of both sets, and the XOR population count of a second odd sketch, of all shingles instead of samples, which is
+never more than the number of shingles that only one of the sets has. So no link is lost by the split.
 
 A pair of similarity 0.8 shares a band with probability 1 - 4.6e-8. Its estimate, of standard deviation 0.02, falls below
 ``LEAST`` with 6.3e-10 (the sketch's exact distribution), so the sketch loses far less than the bands do, and below
@@ -92,6 +94,12 @@ def odd_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(places, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity_of(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set: two such differ in no more bits than the sets in elements."""
+    places = (hashes >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def most_bits(similarity: float) -> int:
     """The XOR population count expected at a similarity."""
     return int(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
@@ -102,13 +110,14 @@ def estimate(bits: int) -> float:
 
 
 def features(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, bands, odd): set size, digest of the set (null if empty), band keys, odd sketch."""
+    """(id, n, key, bands, odd, whole): set size, digest of the set (null if empty), band keys, odd sketches of the samples
+    and of the whole set."""
 
     def make():
         known: dict[bytes, int] = {}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, key, bands, odd = [], [], [], []
+            n, key, bands, odd, whole = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width, known)
                 n.append(len(h))
@@ -117,17 +126,17 @@ def features(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(mins))
                     odd.append(odd_sketch(mins))
+                    whole.append(parity_of(h))
                 else:
-                    key.append(None)
-                    bands.append(None)
-                    odd.append(None)
+                    for x in (key, bands, odd, whole):
+                        x.append(None)
             lists = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, lists), pa.array(odd, lists)], names=["id", "n", "key", "bands", "odd"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *(pa.array(x, lists) for x in (bands, odd, whole))], names=["id", "n", "key", "bands", "odd", "whole"])
 
         return each
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(chosen, make, "id long, n long, key binary, bands array<long>, odd array<long>")
+    return map_arrow(chosen, make, "id long, n long, key binary, bands array<long>, odd array<long>, whole array<long>")
 
 
 def _bits(a: str, b: str) -> Column:
@@ -194,12 +203,12 @@ def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts.select("id", "text"), make, "id long, n long, h array<long>", rows=64).select("id", "n", F.explode("h").alias("h"))
 
 
-def rare_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+def rare_pairs(texts: DataFrame, labels: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of texts in different components that share one of their rarest shingles, as similar sets must.
 
     A shingle's frequency among ``texts`` and its hash order all shingles; those of one text only come first and take
     their places without a row. A shingle whose texts are of one component is left out, and texts of a shingle's largest
-    component don't meet each other.
+    component don't meet each other. ``sketches`` holds (id, whole).
     """
     rows = shingle_rows(texts, width)
     often = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
@@ -207,16 +216,18 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int) ->
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "h"))
     least = lambda over, of: F.expr(f"n - ({over} * n + {of} - 1) div {of} + 1")
     rare = rows.join(often, "h").withColumn("place", place).where(F.col("place") <= least(percent, 100))
-    rare = rare.select("id", "n", "h", (F.col("place") <= least(2 * percent, 100 + percent)).alias("inner"))
+    rare = rare.select("id", "n", "h", "place", (F.col("place") <= least(2 * percent, 100 + percent)).alias("inner"))
     rare = cut(rare.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = rare.groupBy("h", "component").agg(F.count("*").alias("k"))
     tops = sizes.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("m")).where("m > 1").select("h", "top")
-    rare = rare.join(tops, "h")
-    side = lambda df, x: df.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("inner").alias(f"i{x}"))
+    rare = rare.join(tops, "h").join(sketches.select("id", "whole"), "id")
+    side = lambda df, x: df.select("h", F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "place", "component", "inner", "whole")))
     smaller = F.struct("na", "a") < F.struct("nb", "b")
-    both = side(rare.where("component <> top"), "a").join(side(rare, "b"), "h")
-    both = both.where((F.col("ca") != F.col("cb")) & _sizes("na", "nb", percent) & F.when(smaller, F.col("ia")).otherwise(F.col("ib")))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = F.expr(f"({percent} * (na + nb) + {100 + percent} - 1) div {100 + percent}")  # the least size of the intersection
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    fits = _sizes("na", "nb", percent) & F.when(smaller, F.col("ia")).otherwise(F.col("ib")) & (left >= both) & (_bits("wa", "wb") <= F.col("na") + F.col("nb") - 2 * both)
+    pairs = side(rare.where("component <> top"), "a").join(side(rare, "b"), "h").where((F.col("ca") != F.col("cb")) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
@@ -228,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, exact: bool) -> DataFrame:
     seen = scratch.put(features(docs, width, id_col, text_col), "features")
     classes = cut(seen.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep")))
-    reps = seen.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "n", "bands", "odd")
+    reps = seen.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "n", "bands", "odd", "whole")
     banded = reps.select("id", F.explode("bands").alias("bucket")).distinct()
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     kept = scratch.put(banded.join(crowded, "bucket"), "buckets")
@@ -236,7 +247,7 @@ def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, percent: int
     small = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     texts = scratch.put(texts.join(small, "id"), "texts")
-    marks = scratch.put(reps.select("id", "n", "odd").join(small, "id"), "marks")
+    marks = scratch.put(reps.select("id", "n", "odd", "whole").join(small, "id"), "marks")
     m = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
     estimated = lambda pairs, least: pairs.join(m("a"), "a").join(m("b"), "b").where(_sizes("na", "nb", percent) & (_bits("oa", "ob") <= most_bits(least)))
 
@@ -256,7 +267,7 @@ def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, percent: int
         mixed = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
         rest = here.join(mixed, "bucket", "left_semi").select("id").distinct()
     rest = scratch.put(texts.join(rest, "id", "left_semi"), "rest")
-    pairs = cut(rare_pairs(rest, found, width, percent))
+    pairs = cut(rare_pairs(rest, found, marks, width, percent))
     more = cut(confirm(pairs if exact else estimated(pairs, LEAST), texts, width, percent))
     if not more.isEmpty():
         found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))

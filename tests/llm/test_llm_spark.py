@@ -260,7 +260,7 @@ def test_templates_make_few_pairs(spark):
     rows = [(i, f"{template} {prose(rng, 120, tuple('abcdefgh'))}") for i in range(400)]
     rows += [(1000 + i, t.replace(t.split()[7], "other", 1)) for i, t in rows[:5]]
     df = spark.createDataFrame(rows, "id long, text string")
-    pairs = neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), 4, 80)
+    pairs = neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), neardup.features(df, 4, "id", "text"), 4, 80)
     got = {tuple(r) for r in pairs.collect()}
     assert {(i, 1000 + i) for i in range(5)} <= got and len(got) < 100
     found = neardup.near_duplicates(df.withColumnRenamed("id", "doc_id"), width=4)
@@ -272,7 +272,7 @@ def test_rare_pairs_miss_no_link(spark):
     for percent, words in ((80, 30), (50, 25), (80, 6)):
         rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, words)))) for i in range(150)]
         df = spark.createDataFrame(rows, "id long, text string")
-        got = {tuple(r) for r in neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), 2, percent).collect()}
+        got = {tuple(r) for r in neardup.rare_pairs(df, df.select("id", F.col("id").alias("component")), neardup.features(df, 2, "id", "text"), 2, percent).collect()}
         sets = {i: frozenset(neardup.shingles(t, 2, {}).tolist()) for i, t in rows}
         need = {(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
         assert need <= got and need
