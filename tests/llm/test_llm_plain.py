@@ -1,8 +1,10 @@
 """Operators' cores without Spark: brute force, round trips and hand-worked cases."""
 
 import math
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -117,7 +119,7 @@ def test_karlin_k():
 
 
 def test_html():
-    w = html_extract.weights_of({})
+    w = html_extract.model_of({})
     page = (
         "<html><head><title>no</title><style>p{}</style></head><body><header>site</header><nav><a href=x>menu one two</a></nav><div class='cookie-notice'>we use cookies a lot</div>"
         "<div id=content><h1>A  head\nline</h1><p>First &amp;amp; para <b>wi</b>th words &#233; enough to win<br>again<p>Second one with many words too<script>var x='</p>';</script>"
@@ -132,6 +134,82 @@ def test_html():
     assert html_extract.best_region([-1]) == (0, 0)
 
 
+def extracted(page):
+    return html_extract.extract_text(page, html_extract.PLAIN)
+
+
+def test_html_attributes_are_read_one_by_one():
+    body = "<p>one two three</p>"
+    for tag in ("<section title='the hidden costs of tea'>", "<div data-id='related'>", '<div data-class="ad" alt=hidden>', "<div title=it's>"):
+        assert extracted(f"<article>{body}{tag}<p>four five</p></{tag[1:].split()[0]}></article>") == "one two three\nfour five"
+    for tag in ("<section hidden>", "<div id='related'>", '<div CLASS="x ad-box">', "<div style='display : none'>", "<div aria-hidden=true>", "<div role=navigation>"):
+        assert extracted(f"<article>{body}{tag}<p>four five</p></{tag[1:].split()[0].rstrip('>')}></article>") == "one two three"
+    assert extracted("<article><p>a <a href=x title=it's>b</a> c</p></article>") == "a b c"
+    assert extracted('<article><p>a <img alt="x > y">b</p></article>') == "a b"
+
+
+def test_html_what_is_no_content():
+    for tag in ("math", "object", "audio", "video", "canvas", "svg", "noscript", "template", "script", "style", "iframe", "header", "footer", "aside", "nav", "form", "button"):
+        assert extracted(f"<article><p>one two</p><{tag}>no <b>no</b></{tag}><p>three</p></article>") == "one two\nthree", tag
+    more = "<p>" + "word " * 60 + "</p>"
+    assert extracted(f"<article><p>one</p></article>{more}<article><p>two</p></article>") == "one\ntwo"
+    assert extracted(f"<article><p>one</p></article><section class=comments><article>{more}</article></section>") == "one"
+    assert extracted("<nav><ul><li><a>menu</a><article><p>one two</p></article>") == "one two"  # an open menu ends at the label
+    assert extracted("<main><p>one <span class=ad>buy</span>two</p></main>") == "one two"
+    assert extracted("<p>a &amp;lt; b &lt; c &#x41;&nbsp;d < e") == "a &lt; b < c A d < e"
+    assert extracted("<div>a<!-- x > y --><![CDATA[ <b> ]]>c") == "a <b> c"
+
+
+def test_html_learns_kinds_and_names():
+    counts = {("para", True): 10**5, ("bare", False): 10**5, ("name x", False): 10**4, ("name y", True): 10**4, ("name ad", True): 10**5, ("tag", True): 10**3, ("tag", False): 10**4}
+    m = html_extract.model_of(counts)
+    assert m.weights["para"] > 5 and m.weights["bare"] < -5 and m.weights["tag"] < 0 and m.weights["item"] == html_extract.PRIOR["item"]
+    assert m.names["x"] < html_extract.LEAST_NAME and "y" not in m.names and "ad" not in m.names and m.names["ads"] == html_extract.PRIOR["name"]
+
+
+def test_html_region_is_the_best():
+    rng = random.Random(4)
+    for _ in range(500):
+        s = [rng.choice([-2.5, -1, 0, 1, 2]) for _ in range(rng.randint(0, 15))]
+        a, b = html_extract.best_region(s)
+        sums = [sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+        assert sum(s[a:b]) == max([0, *sums])
+
+
+def test_html_broken_pages_take_linear_time():
+    for unit in ("<a ", "<div>", "</div ", "</b>", "<a x='>' ", "<", "<!--", "<li>", "<nav><article>", "<script>", "<b><div></div>", "<p a='\"' b=\"'\"", "&"):
+        page = unit * (10**6 // len(unit))
+        start = time.process_time()
+        extracted(page)
+        assert time.process_time() - start < 6, unit
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_html_needs_neither_labels_nor_names():
+    """Content of the pages as their only article holds it, with the label, without it, and without names and menus' tags."""
+    import html
+
+    import pyarrow.parquet as pq
+
+    def content(page):
+        parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*)</article>", page, re.S)[1].replace("<br>", " "))
+        return "\n".join(x for p in parts if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split())))
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if p]
+    counts: Counter = Counter()
+    names: dict = {}
+    for p in pages[::2]:
+        for b in html_extract.blocks(p, {}, names):
+            counts[b.kind(), b.label and not b.chrome] += b.words
+    for n, (a, b) in names.items():
+        counts[f"name {n}" if n else "tag", True], counts[f"name {n}" if n else "tag", False] = a, b
+    model = html_extract.model_of(counts)
+    nameless = html_extract.Model(model.weights, {})
+    bare = lambda p: re.sub(r"(</?)(article|nav|footer)", r"\1div", p)
+    for change, own in ((str, model), (lambda p: re.sub(r"(</?)article", r"\1div", p), model), (bare, nameless)):
+        assert sum(html_extract.extract_text(change(p), own) == content(p) for p in pages) >= 0.95 * len(pages)
+
+
 def test_language_vectors():
     assert langid.vector(None, 11) is None and langid.vector("12 !?", 11) is None
     v = langid.vector("Ein Text", 11)
