@@ -5,14 +5,16 @@ one under a one spoils few seeds. Seeds of documents and of benchmark items are
 (document, item, offset). An alignment is verified by comparing the words around the hit: it is an overlap if some
 window of ``WINDOW`` words (or the whole item, if shorter) agrees in at least ``AGREE`` of its words. The masks are complete:
 whichever 2 of 13 words are changed, one of ``SEEDS`` keeps a place without a changed word, and so does one of
-``SHORT_SEEDS`` for each change that ``AGREE`` allows in an item of 5 to 12 words. So no overlap is missed.
+``SHORT_SEEDS`` for each change that ``AGREE`` allows in an item of 5 to 12 words; an item of up to 4 words allows none and
+is sought whole. So no overlap is missed.
 
 Words are lower-cased and stripped of all but letters and digits, so punctuation and case don't hide a passage.
 
-Defined results: null and empty texts and items overlap with nothing; an item of
-fewer than ``LEAST_WORDS`` words is ignored; rows that share
-an id are judged together; equal items are reported each. The benchmark's seeds are broadcast up to ``BROADCAST_ROWS``
-rows, else both sides are shuffled by seed.
+Defined results: null and empty texts and items, and items without a letter or digit, overlap with nothing; very long
+texts are searched whole; rows that share an id are judged together; equal items are reported each; items of fewer than
+``least_words`` words are left out (default 1: none, but a corpus may hold very short ones by chance); an empty table on
+either side gives no overlap; a row without an id is judged clean. The benchmark's seeds are broadcast up to
+``BROADCAST_ROWS`` rows of three numbers each, items up to as many words, else both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut
 
 # Masks over word positions. SEEDS have six ones, complete together for 11 of 13 words; SHORT_SEEDS three,
-# for items under 13 words, and are hashed only if there are any. MASKS are those of the SQL, not complete.
-SEEDS, SHORT_SEEDS = ("1111101", "1011000111"), ("1101", "1011")
-MASKS = ("110110101", "101011011")
+# for items under 13 words; WHOLE are for items of up to 4 words. The latter two are hashed only if there are such items.
+SEEDS, SHORT_SEEDS, WHOLE = ("1111101", "1011000111"), ("1101", "1011"), ("1", "11", "111", "1111")
 WINDOW, AGREE = 13, 0.8
-#: An item of fewer words gives no evidence: such phrases occur by chance.
-LEAST_WORDS = 5
 BROADCAST_ROWS, HIT_ROWS = 1_000_000, 100_000
 
 
@@ -47,26 +46,28 @@ def _seeds(rows: DataFrame, key: str, h: str, masks: dict[int, str]) -> DataFram
     return each.select(key, F.posexplode("__seeds").alias("pos", "seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = SEEDS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = SEEDS, window: int = WINDOW, agree: float = AGREE, least_words: int = 1) -> DataFrame:
     """(doc, item, matched): each document that overlaps an item, with the most words that agree on one alignment."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text).cast("string")).alias("b")).where(F.size("b") >= LEAST_WORDS)
-    items = cut(items)
-    spaced, short = dict(enumerate(masks)), {}
+    items = cut(benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text).cast("string")).alias("b")).where(F.size("b") >= least_words))
+    spaced, more = dict(enumerate(masks)), {}
     known = _seeds(items.where(F.size("b") >= window), "item", "b", spaced)
-    if not (few := items.where(F.size("b") < window)).isEmpty():
-        short = {len(masks) + n: m for n, m in enumerate(SHORT_SEEDS)}
-        known = known.unionByName(_seeds(few, "item", "b", short))
+    lengths = {r.n for r in items.where(F.size("b") < window).select(F.size("b").alias("n")).distinct().collect()}  # at most as many as the window has words
+    for low, high, of in [(5, window - 1, SHORT_SEEDS), *((len(m), len(m), (m,)) for m in WHOLE)]:
+        if any(low <= n <= high for n in lengths):
+            own = {len(masks) + len(more) + i: m for i, m in enumerate(of)}
+            known = known.unionByName(_seeds(items.where(F.size("b").between(low, high)), "item", "b", own))
+            more |= own
     known = cut(known.select("item", F.col("pos").alias("at"), "seed"))
-    n = known.count()
+    n, total = known.count(), items.agg(F.coalesce(F.sum(F.size("b")), F.lit(0))).first()[0]
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).where("t is not null and doc is not null")
     hashed = lambda df: df.select("doc", word_hashes(F.col("t")).alias("d"))
-    found = _seeds(hashed(texts), "doc", "d", spaced | short).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
+    found = _seeds(hashed(texts), "doc", "d", spaced | more).join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "seed")
     hits = cut(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("off")).distinct())
-    m = hits.count()
-    near = hits.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 10 else items, "item")
+    few = hits.count() <= HIT_ROWS
+    near = F.broadcast(hits) if few else hits
     hit = hits.select("doc").distinct()
-    pairs = hashed(texts.join(F.broadcast(hit) if m <= HIT_ROWS else hit, "doc", "left_semi"))  # only texts with a hit are hashed again
-    pairs = pairs.join(F.broadcast(near) if m <= HIT_ROWS else near, "doc")
+    pairs = hashed(texts.join(F.broadcast(hit) if few else hit, "doc", "left_semi")).join(near, "doc")  # only texts with a hit are hashed again
+    pairs = pairs.join(F.broadcast(items) if total <= BROADCAST_ROWS else items, "item")
     first, end = F.greatest(F.lit(0), -F.col("off")), F.least(F.size("b"), F.size("d") - F.col("off"))
     same = F.transform(F.sequence(F.col("first"), F.col("end") - 1), lambda i: F.when(F.get(F.col("d"), i + F.col("off")) == F.get(F.col("b"), i), 1).otherwise(0))
     pairs = pairs.select("doc", "item", "off", "b", "d", first.alias("first"), end.alias("end")).withColumn("w", F.least(F.lit(window), F.size("b"))).where("end - first >= w").withColumn("same", same).select("doc", "item", "same", "w")

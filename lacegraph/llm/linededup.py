@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 
 RATIO, LEAST_COPIES = 0.08, 4
-#: Of the SQL only.
-LEAST_PAGES = 20
 BROADCAST_ROWS, SALTS = 200_000, 64
 
 

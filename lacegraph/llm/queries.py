@@ -84,7 +84,7 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
 l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t WHERE text IS NOT NULL),
 h AS (SELECT source, count(*) AS total FROM t GROUP BY source),
 c AS (SELECT source, line, count(DISTINCT r) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY source, line),
-b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages >= {linededup.LEAST_COPIES} AND total >= {linededup.LEAST_PAGES} AND pages / total > {linededup.RATIO}),
+b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages >= {linededup.LEAST_COPIES} AND pages / total > {linededup.RATIO}),
 k AS (SELECT l.r, l.pos, l.line, b.line IS NOT NULL AS dropped FROM l LEFT JOIN b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source),
 g AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM k GROUP BY r)
 SELECT t.doc_id, t.source, g.text, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_dropped, 0)::BIGINT AS n_dropped FROM t LEFT JOIN g USING (r)
@@ -105,26 +105,17 @@ SELECT r.a AS doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id, mi
 """
 
 
-def _seed_sql(table: str, key: str) -> str:
-    """(key, pos, seed) of each mask over a table of words."""
-    parts = []
-    for number, mask in enumerate(decontam.MASKS):
-        ones = ", ".join(f"ws[i + {j + 1}]" for j, c in enumerate(mask) if c == "1")
-        parts.append(f"SELECT {key}, i AS pos, concat_ws(' ', '{number}', {ones}) AS seed FROM (SELECT {key}, ws, unnest(range(len(ws) - {len(mask) - 1})) AS i FROM {table} WHERE len(ws) >= {len(mask)})")
-    return " UNION ALL ".join(parts)
-
-
 def _words_sql(table: str, key: str) -> str:
     return f"SELECT {key}, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM {table} WHERE text IS NOT NULL"
 
 
-#: Seeds as joined words, for items of at least a mask's length, as all of the driver's are.
+#: Without seeds: equal words of a document and an item at one offset, counted in windows that begin at each of them. A
+#: window that would pass the alignment's end holds the same words when it is moved back.
 OP7_SQL = f"""
 WITH d AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}),
-ds AS ({_seed_sql("d", "doc_id")}), bs AS ({_seed_sql("b", "item_id")}),
-h AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS off FROM ds JOIN bs USING (seed)),
-a AS (SELECT doc_id, item_id, off, d.ws AS dw, b.ws AS bw, greatest(0, -off) AS lo, least(len(b.ws), len(d.ws) - off) AS hi, least({decontam.WINDOW}, len(b.ws)) AS w FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-m AS (SELECT doc_id, item_id, w, list_transform(range(lo, hi), lambda j: CASE WHEN dw[j + off + 1] = bw[j + 1] THEN 1 ELSE 0 END) AS same FROM a WHERE hi - lo >= w),
-f AS (SELECT DISTINCT doc_id, item_id FROM m WHERE len(list_filter(range(1, len(same) - w + 2), lambda s: list_sum(same[s:s + w - 1]) >= ceil(w * {decontam.AGREE}))) > 0)
+dw AS (SELECT doc_id, len(ws) AS dn, unnest(ws) AS word, unnest(range(len(ws))) AS dp FROM d), bw AS (SELECT item_id, len(ws) AS bn, unnest(ws) AS word, unnest(range(len(ws))) AS bp FROM b),
+e AS (SELECT doc_id, item_id, dp - bp AS off, bp, dn, bn, least({decontam.WINDOW}, bn) AS w FROM dw JOIN bw USING (word) WHERE word <> ''),
+c AS (SELECT * FROM e WHERE least(bn, dn - off) - greatest(0, -off) >= w QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, off) >= ceil(w * {decontam.AGREE})),
+f AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, w, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY bp RANGE BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING) AS n FROM c) WHERE n >= ceil(w * {decontam.AGREE}))
 SELECT t.doc_id, count(f.item_id) > 0 AS contaminated, count(f.item_id) AS n_items, coalesce(string_agg(f.item_id, ',' ORDER BY f.item_id), '') AS items FROM documents t LEFT JOIN f USING (doc_id) GROUP BY t.doc_id
 """

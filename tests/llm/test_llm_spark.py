@@ -170,9 +170,14 @@ def test_decontamination(spark, docs, cases):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(0, fill(), 1, 2)], "doc_id long, text string, item long, d long")
     judged = decontam.judge(df, decontam.overlaps(df, bench)).collect()
     got = {r.doc_id: r["items"] for r in judged}
-    assert got == {0: "0", 1: "0", 2: "", 3: "1", 4: "2", 5: "3", 6: "", 7: "", 8: "0", 9: "", 10: "", 11: "0,1"} and len(judged) == len(texts) + 1
+    assert got == {0: "0", 1: "0", 2: "", 3: "1", 4: "2", 5: "3", 6: "4", 7: "", 8: "0", 9: "", 10: "", 11: "0,1"} and len(judged) == len(texts) + 1
     left = decontam.clean(df, bench)
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 6, 7, 9, 10]
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 7, 9, 10]
+    assert {r.doc_id for r in decontam.overlaps(df, bench, least_words=5).collect()} == {0, 1, 3, 4, 5, 8, 11}
+    old = decontam.BROADCAST_ROWS, decontam.HIT_ROWS
+    decontam.BROADCAST_ROWS = decontam.HIT_ROWS = 0  # the same by shuffles
+    assert {r.doc_id: r["items"] for r in decontam.judge(df, decontam.overlaps(df, bench)).collect()} == got
+    decontam.BROADCAST_ROWS, decontam.HIT_ROWS = old
     assert decontam.overlaps(docs, bench.where("item_id = 10")).count() == 0
     assert decontam.overlaps(docs.where("doc_id < 0"), bench).count() == 0
 
@@ -180,7 +185,7 @@ def test_decontamination(spark, docs, cases):
 def test_decontamination_misses_no_overlap(spark):
     """Every change that leaves 80 % of an item is found, and no change of one word more."""
     rng, items, texts = random.Random(16), [], []
-    for n in range(decontam.LEAST_WORDS, 14):
+    for n in range(1, 14):
         words, most = [f"w{n}x{j}" for j in range(n)], n - math.ceil(decontam.AGREE * n)
         items.append((n, " ".join(words)))
         for k, good in ((most, True), (most + 1, False)):
@@ -205,7 +210,7 @@ def test_decontamination_equals_search_without_seeds(spark):
         d = words(r.text)
         for item, b in items:
             w = min(decontam.WINDOW, len(b))
-            if len(b) >= decontam.LEAST_WORDS and len(d) >= w:
+            if len(b) and len(d) >= w:
                 ext = np.concatenate([np.full(len(b), -1), d, np.full(len(b), -1)])
                 same = np.lib.stride_tricks.sliding_window_view(ext, len(b)) == b
                 sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), 1)
