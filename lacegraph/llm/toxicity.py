@@ -1,16 +1,19 @@
 """Toxic passages by maximum-scoring segment search.
 
-Fit (on a bounded, documented sample of labelled rows): document frequencies of words and word beginnings in toxic and
-other rows give log-odds with an informative Dirichlet prior (the pooled frequencies); only significant ones are kept.
-The sample's other half gives the distribution of token scores in ordinary text, from which the Karlin-Altschul lambda
-follows (2 at most), the best segments of ordinary rows, of which K is the likeliest (0.1 if there are none), and a logistic curve from a document's statistic to a probability.
+Fit (on a bounded, documented sample of labelled rows, written once): document frequencies of words and word beginnings in
+toxic and other rows give log-odds with an informative Dirichlet prior (the pooled frequencies); only significant ones are
+kept. The sample's other third calibrates: the scores of all tokens in its ordinary rows give the Karlin-Altschul lambda,
+their best segments the likeliest K (``FALLBACK_K`` if there are none), and a logistic curve leads from a document's
+statistic to a probability.
 
 Scan: every token scores its log-odds less a drift; one linear pass finds all maximal segments of positive score
-(Ruzzo and Tompa), whatever the text's length. A segment's normalised score is lambda*S - ln(K*n); what exceeds 0 is
-significant in a text of n tokens, and the document's statistic is the sum over its significant segments.
+(Ruzzo and Tompa), whatever the text's length. A segment's normalised score is lambda*S - ln(K*n); by the extreme-value
+law an ordinary text of n tokens holds one above -ln(-ln(1 - level)) with probability ``level``, and what exceeds that is
+significant. The document's statistic sums up by how much its significant segments exceed it.
 
-Defined results: null and empty texts have no segments and the least score; equal texts score the same; no other
-column is read. With no labels of one kind the score is the labels' mean, or 0.
+Defined results: null and empty texts have no segments and the least score; very long texts are scanned whole; equal
+texts score the same, so repeated rows and ties do too; no other column is read; an empty table gives an empty result.
+With no labels of one kind, or none at all, the score is the labels' mean, or 0.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow
+from .common import Scratch, map_arrow
 
+FALLBACK_K = 0.1
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -33,13 +37,13 @@ TOKEN = re.compile(r"[^\W\d_]+")
 class Params:
     #: At most about so many labelled rows are used: two thirds for the log-odds, one third for the calibration.
     sample_rows: int = 24_000
-    #: At most so many features stay, those with the largest z.
-    features: int = 20_000
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     prior: float = 50.0
     least_docs: int = 5
     least_z: float = 4.0
     drift: float = 0.7
+    #: Chance of a significant segment in an ordinary text.
+    level: float = 0.01
     most: float = 6.0
 
 
@@ -48,7 +52,7 @@ class Model:
     weights: dict[str, float]
     params: Params
     lam: float = 1.0
-    k: float = 0.1
+    k: float = FALLBACK_K
     curve: tuple[float, float] = (0.0, 0.0)
     memo: dict[str, float] = field(default_factory=dict)
 
@@ -75,9 +79,10 @@ class Model:
         """The document's statistic and its significant segments (first token, end, normalised score)."""
         if not scores or max(scores) <= 0:
             return 0.0, []
-        floor = math.log(max(self.k * len(scores), 1e-9))
-        found = [(a, b, x) for a, b, s in segments(scores) if (x := self.lam * s - floor) > 0]
-        return sum(x for *_, x in found), found
+        floor, least = math.log(max(self.k * len(scores), 1e-9)), -math.log(-math.log1p(-self.params.level))
+        every = [(a, b, self.lam * s - floor) for a, b, s in segments(scores)]
+        found = [(a, b, x) for a, b, x in every if x > least]
+        return sum(x - least for *_, x in found), found
 
     def probability(self, statistic: float) -> float:
         a, b = self.curve
@@ -151,25 +156,23 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(labelled: DataFrame, params: Params = Params(), text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id") -> Model:
-    """Learn from (text, label) rows. The key only picks the sample and its halves; it is no input of a score."""
+    """Learn from (text, label) rows. The key only picks the sample and its parts; it is no input of a score."""
     rows = labelled.select(F.col(key_col).alias("k"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
-    n = rows.select("k").count()
-    share = min(1.0, params.sample_rows / max(n, 1))
+    share = min(1.0, params.sample_rows / max(rows.select("k").count(), 1))
     place = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < share).withColumn("third", place >= share * 2 / 3)
-    model = _odds(sample.where("not third"), params)
-    got = _calibration_rows(sample.where("third"), model).select("y", "positive", "n", "segments").collect()  # at most a third of the sample
-    if not got:
-        return model
-    positive = np.array([s for r in got if r.y == 0 for s in r.positive] + [params.most - params.drift])
-    tokens = sum(r.n for r in got if r.y == 0)
-    values, counts = np.unique(np.round(positive, 2), return_counts=True)
-    model.lam = min(2.0, karlin(np.append(values, -params.drift), np.append(counts, max(tokens - len(positive), 1)).astype(float)))
-    plain = [(r.n, max(r.segments, default=0.0)) for r in got if r.y == 0]
-    model.k = karlin_k(model.lam, *np.array(plain, float).reshape(-1, 2).T) or model.k
-    stats = [sum(max(0.0, model.lam * s - math.log(max(model.k * r.n, 1e-9))) for s in r.segments) for r in got]
+    with Scratch(labelled.sparkSession) as scratch:
+        sample = scratch.put(rows.where(place < share).select("text", "y", (place >= share * 2 / 3).alias("third")), "sample")
+        model, held = _odds(sample.where("not third"), params), sample.where("third")
+        scores = {r.s: r.n for r in _histogram(held.where("y = 0"), model).collect()}  # of scores rounded to a hundredth
+        if not scores:
+            return model
+        scores[top] = scores.get(top := round(params.most - params.drift, 2), 0) + 1  # a positive score can occur
+        model.lam = karlin(np.array(list(scores)), np.array(list(scores.values()), float))
+        plain = _per_row(held.where("y = 0"), model, lambda own, s: max((x for *_, x in segments(s)), default=0.0)).collect()
+        model.k = karlin_k(model.lam, *np.array([(r.n, r.value) for r in plain], float).reshape(-1, 2).T) or model.k
+        got = _per_row(held, model, lambda own, s: own.statistic(s)[0]).collect()  # three numbers of each row, a third of the sample at most
     y = np.array([r.y for r in got], float)
-    model.curve = logistic(np.log1p(np.array(stats)), y) if 0 < y.sum() < len(y) else (math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), 0.0)
+    model.curve = logistic(np.log1p(np.array([r.value for r in got])), y) if 0 < y.sum() < len(y) else (math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), 0.0)
     return model
 
 
@@ -177,7 +180,7 @@ def _odds(rows: DataFrame, params: Params) -> Model:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[y].update(features(text, params.beginnings))
             names = list(counts[0] | counts[1])
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
@@ -190,30 +193,45 @@ def _odds(rows: DataFrame, params: Params) -> Model:
         rate = toxic / max(clean + toxic, 1.0)
         return Model({}, params, curve=(math.log((rate + 1e-9) / (1 - rate + 1e-9)), 0.0))
     prior = params.prior
-    table = map_arrow(rows.select("k", "text", "y"), make, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= params.least_docs)
+    table = map_arrow(rows.select("text", "y"), make, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= params.least_docs)
     share = (F.col("c") + F.col("t")) / F.lit(clean + toxic)
     odds = lambda y, n: F.log(y / (n + prior + 0.5 - y))
     t, c = F.col("t") + prior * share, F.col("c") + prior * share
     table = table.select("feature", (odds(t, F.lit(toxic)) - odds(c, F.lit(clean))).alias("w"), F.sqrt(1 / t + 1 / c).alias("sd")).where(F.abs(F.col("w") / F.col("sd")) >= params.least_z)
-    best = table.orderBy(F.abs(F.col("w") / F.col("sd")).desc(), "feature").limit(params.features)
-    return Model({r.feature: r.w for r in best.collect()}, params)
+    return Model({r.feature: r.w for r in table.collect()}, params)  # what a bounded sample holds often enough
 
 
-def _calibration_rows(rows: DataFrame, model: Model) -> DataFrame:
-    """Of each row its number of tokens, its positive token scores and the scores of its segments."""
-    bare = Model(model.weights, model.params)
+def _histogram(rows: DataFrame, model: Model) -> DataFrame:
+    """(s, n): how many tokens have each score."""
 
     def make():
+        own = Model(model.weights, model.params)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [bare.scores(t) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array([len(s) for s in scores], pa.int64()), pa.array([[x for x in s if x > 0] for s in scores], pa.list_(pa.float64())), pa.array([[x for *_, x in segments(s)] for s in scores], pa.list_(pa.float64()))],
-                names=["y", "n", "positive", "segments"],
-            )
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(round(x, 2) for x in own.scores(text))
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
+
+        return each
+
+    return map_arrow(rows.select("text"), make, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def _per_row(rows: DataFrame, model: Model, of) -> DataFrame:
+    """(y, n, value): of each row its label, its number of tokens and ``of(model, scores)``."""
+    state = (model.weights, model.params, model.lam, model.k)
+
+    def make():
+        own = Model(*state)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scores = [own.scores(t) for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in scores], pa.int64()), pa.array([of(own, s) for s in scores], pa.float64())], names=["y", "n", "value"])
 
         return each
 
-    return map_arrow(rows.select("k", "text", "y"), make, "y int, n long, positive array<double>, segments array<double>")
+    return map_arrow(rows.select("text", "y"), make, "y int, n long, value double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,6 +134,18 @@ def test_html():
     assert html_extract.best_region([-1]) == (0, 0)
 
 
+def test_level_is_the_chance_of_a_significant_segment():
+    rng = np.random.default_rng(6)
+    values, p = np.array([-1.0, -0.5, 2.0]), np.array([0.6, 0.25, 0.15])
+    lam, n = toxicity.karlin(values, p), 400
+    texts = [rng.choice(values, n, p=p).tolist() for _ in range(3000)]
+    best = np.array([max((x for *_, x in toxicity.segments(s)), default=0.0) for s in texts])
+    for level in (0.2, 0.05):
+        model = toxicity.Model({}, toxicity.Params(level=level), lam, toxicity.karlin_k(lam, np.full(len(best), float(n)), best))
+        share = sum(bool(model.statistic(s)[1]) for s in texts) / len(texts)
+        assert level / 2 < share < level * 2
+
+
 def extracted(page):
     return html_extract.extract_text(page, html_extract.PLAIN)
 
