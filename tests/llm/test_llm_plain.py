@@ -70,6 +70,44 @@ def test_secret_spans():
     assert secrets.all_spans("") == []
 
 
+A, B = "Zx81kQp0LmN4", "q9Wt7Vb2Hy5R"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f'A = "{A[:6]}"\nB = "{B[:7]}"\npassword = A + B\n', [A[:6], B[:7]]), (f'secret = "abcd" + "{A}"', [f'abcd" + "{A}']), (f'secret = ("{A}"\n  "{B}")', [A, B]),
+        (f'password = """{A}"""', [A]), (f"password = '''{A}'''", [A]), (f"passwords = ['{A}', '{B}']", [A, B]), (f'password: str = "{A}"', [A]), (f'const apiToken: string = "{A}";', [A]),
+        (f'String password = "{A}";', [A]), (f'$password = "{A}";', [A]), (f"'password' => '{A}',", [A]), (f'{{"db": {{"password": "{A}", "user": "{B}"}}}}', [A]), (f"export API_KEY={A}\n", [A]),
+        (f"db:\n  password:\n    value: {A}\n    other: 1\nname: x{B}\n", [A]), (f"env:\n  - name: DB_PASSWORD\n    value: {A}\n  - name: HOST\n    value: {B}\n", [A]),
+        (f"tokens:\n  - {A}\n  - {B}\nhosts:\n  - {B}x1\n", [A, B]), (f"<config><password>{A}</password><user>{B}</user></config>", [A]), (f'<add key="ApiSecret" value="{A}"/>', [A]),
+        (f'connect("u", password="{A}")', [A]), (f'set_password("{A}")', [A]), (f'setenv("API_KEY", "{A}")', [A]), (f'os.environ["SECRET_KEY"] = "{A}"', [A]), (f'password = b64decode("{A}")', [A]),
+        (f'# password = "{A}"\nx = 1', [A]), (f'x = "{B}" // token: "{A}"', [A]), (f'/* x = "{B}" */ password = x', []),
+        (f'const K = "{A}";\nfunction f() {{ let password = K; }}', [A]), (f'function f() {{ const K = "{B}"; }}\nlet password = K;', []),
+        (f'K = "{A}"\ndef f():\n    K = "{B}"\n    return K\npassword = K\n', [A]), ("aws_secret = os.getenv('AB12cd34EF56')", []), (f'password == "{A}"', []),
+        ("password = settings.DATABASE.password", []), ('password = "changeme"', []), ("it's a secret: don't tell", []), (f'note = "{A}"', []),
+    ],
+)
+def test_secret_literals(text, found):
+    assert sorted(text[a:b] for a, b in secrets.literals(text)) == sorted(found)
+
+
+def test_secret_scan_takes_linear_time():
+    for unit in ("password = ", "token('", "a[b[", "/* ", "<!--", '"""', "'", "secret: {", "password\n  ", "- ", "<token>", "x+", "api=+", "secret=/*", "key '", "a=b(", "x = x + x\n", "token: "):
+        start = time.process_time()
+        secrets.all_spans("token" + unit * (200_000 // len(unit)))
+        assert time.process_time() - start < 4, unit
+
+
+def test_secret_scan_reads_anything():
+    rng = random.Random(15)
+    parts = ["password", "token", "x", "=", ":", "=>", '"', "'", '"""', "(", ")", "[", "]", "{", "}", "<", ">", "/", "#", "//", "/*", "*/", "\n", "  ", "- ", "+", ",", ";", "Ab3dEf6hIj9k", ".", "def ", "\\"]
+    for _ in range(5000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        spans = secrets.all_spans(t)
+        assert all(0 <= a < b <= len(t) for a, b, _ in spans) and spans == sorted(spans, key=lambda x: (x[0], secrets.KINDS.index(x[2]), x[1]))
+
+
 def test_secret_base_equals_plain_search():
     rng = random.Random(5)
     words = ["password", "Token", "=", ":", '"', " ", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "xyz", "api_key", "apikey", "\n"]
