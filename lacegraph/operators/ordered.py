@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 BUCKET_ROWS, ONE_WINDOW_ROWS = 4096, 50_000
+#: Boundaries are quantiles of the key, up to so many; beyond, the ranges between them are cut into equal widths.
+MOST_BOUNDS = 4096
 
 
-def _bucket(df: DataFrame, key: str, rows: int) -> tuple[Column, int]:
-    """Equal ranges of an integer key that hold about ``rows`` rows each, and their number."""
-    got = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    if not got.n:
+def range_bucket(df: DataFrame, key: str, rows: int) -> tuple[Column, int]:
+    """Numbers of consecutive ranges of an integer key that hold about ``rows`` rows each, and how many there are.
+
+    The boundaries follow the keys' distribution, so that a few far keys don't leave all others in one range. A key's
+    range is found by bisection; null keys go to the first.
+    """
+    k = F.col(key).cast("long")
+    size = df.agg(F.count(k).alias("n"), F.min(k).alias("low"), F.max(k).alias("high")).first()
+    wanted = max(1, -(-size.n // rows))
+    if wanted == 1:
         return F.lit(0).cast("long"), 1
-    width = max(1, math.ceil((got.high - got.low + 1) * rows / got.n))
-    return F.expr(f"(cast({key} as bigint) - {got.low}L) div {width}L"), (got.high - got.low) // width + 1
+    parts = min(wanted, MOST_BOUNDS + 1)
+    bounds = sorted(set(df.agg(F.percentile_approx(k, [i / parts for i in range(1, parts)], 8 * parts)).first()[0]))
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= k, step).otherwise(0))
+    cuts = -(-wanted // parts)
+    if cuts == 1:
+        return F.coalesce(place.cast("long"), F.lit(0)), len(bounds) + 1
+    low, high = F.coalesce(F.get(table, place - 1), F.lit(size.low)).cast("double"), F.coalesce(F.get(table, place), F.lit(size.high)).cast("double")
+    share = F.floor((k.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * cuts)
+    return F.coalesce(place.cast("long") * cuts + F.least(F.greatest(share, F.lit(0)), F.lit(cuts - 1)).cast("long"), F.lit(0)), (len(bounds) + 1) * cuts
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, name: str, rows: int = BUCKET_ROWS) -> DataFrame:
@@ -24,7 +41,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, name: str, rows: int = BUCKE
     Ranges of the key are summed on their own and their totals are added up; the totals are few, and are summed the
     same way where they are not.
     """
-    bucket, n = _bucket(df, key, rows)
+    bucket, n = range_bucket(df, key, rows)
     own = df.withColumn("__b", bucket)
     inner = F.coalesce(F.sum(value).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = own.groupBy("__b").agg(F.sum(value).alias("__t"))
@@ -43,21 +60,41 @@ def ordinal(df: DataFrame, key: str, name: str) -> DataFrame:
 def pack_blocks(reads: DataFrame, max_bases: int, key: str = "read_id", length: str = "len") -> DataFrame:
     """(block_id, first_read, n_reads): greedy packing; a block closes when the next read would exceed ``max_bases``.
 
-    A read that is longer than a block stands alone. Each boundary depends on the one before, so the lengths are folded
-    in order as they stream by, sorted by the cluster, a partition at a time; only the boundaries are kept.
+    A read that is longer than a block stands alone. Each boundary depends on the one before. For a block that would
+    begin at some read, the first read of the next one is the first whose end lies more than ``max_bases`` behind its
+    start: a lookup in prefix sums, sorted together in ranges. The boundaries are those reads that the first read
+    reaches over these links, found by doubling: in each round the reached reads hand on to those twice as far.
     """
-    rows: list[tuple[int, int, int]] = []
-    first = size = count = None
-    ids = reads.select(F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("n")).orderBy("id")
-    for r in ids.toLocalIterator():
-        if first is None or size + r.n > max_bases:
-            if first is not None:
-                rows.append((len(rows), first, count))
-            first, size, count = r.id, 0, 0
-        size, count = size + r.n, count + 1
-    if first is not None:
-        rows.append((len(rows), first, count))
-    return reads.sparkSession.createDataFrame(rows, "block_id int, first_read long, n_reads int")
+    rows = prefix_sum(ordinal(reads.select(F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("n")), "id", "i"), "i", "n", "start")
+    rows = cut(rows.select("i", "id", "n", "start"))
+    size = rows.agg(F.count("*").alias("n"), F.sum("n").alias("bases")).first()
+    if not size.n:
+        return reads.sparkSession.createDataFrame([], "block_id int, first_read long, n_reads int")
+    # In one order, ends stand before the limits that they don't exceed; a limit's next block begins with the first end after it.
+    ends = rows.select((F.col("start") + F.col("n")).alias("at"), F.lit(1).alias("kind"), F.col("i").alias("end"), F.lit(None).cast("long").alias("of"), F.col("n").alias("n"))
+    limits = rows.select((F.col("start") + max_bases).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("end"), F.col("i").alias("of"), F.col("n").alias("n"))
+    events = cut(ends.unionByName(limits))
+    bucket, _ = range_bucket(events, "at", max(BUCKET_ROWS, 2 * size.n // ONE_WINDOW_ROWS))
+    events = cut(events.withColumn("b", bucket))
+    heads = events.where("kind = 1").groupBy("b").agg(F.min("end").alias("head"))
+    later = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    every = events.select("b").distinct().join(heads, "b", "left")
+    following = cut(every.select("b", F.min("head").over(later).alias("after")))  # a row for each range
+    order = Window.partitionBy("b").orderBy(F.desc("at"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = events.withColumn("next", F.min("end").over(order)).where("kind = 2").join(F.broadcast(following), "b")  # at most about ONE_WINDOW_ROWS rows
+    links = nexts.select(F.col("of").alias("i"), F.greatest(F.col("of") + 1, F.coalesce("next", "after", F.lit(size.n))).alias("next"))
+    links = cut(links.where(F.col("next") < size.n))
+    reached = rows.sparkSession.createDataFrame([(0,)], "i long")
+    for _ in range(64):
+        more = cut(reached.join(links, "i").select(F.col("next").alias("i")).unionByName(reached).distinct())
+        if more.count() == reached.count():
+            break
+        reached = more
+        twice = links.select(F.col("i").alias("next"), F.col("next").alias("far"))
+        links = cut(links.join(twice, "next").select("i", F.col("far").alias("next")))
+    firsts = ordinal(reached.join(rows.select("i", "id"), "i"), "i", "block_id")
+    following = firsts.select((F.col("block_id") - 1).alias("block_id"), F.col("i").alias("until"))
+    return firsts.join(following, "block_id", "left").select(F.col("block_id").cast("int").alias("block_id"), F.col("id").alias("first_read"), (F.coalesce("until", F.lit(size.n)) - F.col("i")).cast("int").alias("n_reads"))
 
 
 def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
