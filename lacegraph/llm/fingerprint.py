@@ -7,16 +7,19 @@ number of distinct shingles, exactly where a sketch holds fewer than k hashes. A
 
 Defined results: null and empty texts (and texts of white space) have the empty sketch; two empty sketches are alike
 (1), one empty and one not are unlike (0); a text of fewer words than a shingle is one shingle. Rows that share an id
-are ordered by the hash of their text. Other columns are ignored.
+are ordered by the hash of their text, and rows without an id come last. Very long texts are read whole; equal texts have
+equal sketches; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.ordered import range_bucket
+
 K, SHINGLE_WORDS = 256, 5
 _SPAN = float(1 << 48)
-#: A successor bucket holds about so many rows; a small table of boundary ids is broadcast up to so many rows.
+#: A successor range holds about so many rows; boundary ids (two numbers each) are broadcast up to so many rows.
 BUCKET_ROWS, BROADCAST_ROWS, ONE_WINDOW_ROWS = 1024, 500_000, 50_000
 
 
@@ -102,18 +105,15 @@ def _lower_neighbour(stats: DataFrame, rows: int) -> DataFrame:
 def with_next(docs: DataFrame, id_col: str, text_col: str, derive, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each row with the text of the next row in descending id order (after the last: the first).
 
-    Ids are dealt into equal ranges, each range is sorted on its own, and the top row of the next lower range is sent
-    along as a guest; so texts are shuffled once and no task sees all rows. ``derive`` adds columns to the sorted rows;
-    those it names come back with the prefix ``next_`` as well. It returns (frame, names).
+    Ids are dealt into ranges between quantiles, each range is sorted on its own, and the top row of the next lower range
+    is sent along as a guest; so texts are shuffled once and no task sees all rows, however the ids lie. ``derive`` adds
+    columns to the sorted rows; those it names come back with the prefix ``next_`` as well. It returns (frame, names).
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = base.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    low, high, n = size.low or 0, size.high or 0, size.n
-    buckets = max(1, n // bucket_rows)
-    span = F.lit(str(high - low + 1)).cast("decimal(38,0)")
-    bucket = F.coalesce(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)).cast("decimal(20,0)") * buckets / span).cast("long"), F.lit(0)) if high - low + 1 >= 1 << 40 else F.coalesce(F.expr(f"cast((id - {low}) * {buckets} div {high - low + 1} as bigint)"), F.lit(0))
+    high = F.lit(base.agg(F.max("id")).first()[0] or 0)
+    bucket, buckets = range_bucket(base, "id", bucket_rows)
     stats = base.where("id is not null").groupBy(bucket.alias("b")).agg(F.max("id").alias("top"))
-    near = _lower_neighbour(stats, buckets).select(F.coalesce("below", F.lit(high)).alias("id"), F.col("b").alias("to"))
+    near = _lower_neighbour(stats, buckets).select(F.coalesce("below", high).alias("id"), F.col("b").alias("to"))
     near = F.broadcast(near) if buckets <= BROADCAST_ROWS else near
     own = base.withColumn("b", bucket).withColumn("guest", F.lit(False))
     guests = base.join(near, "id").select("id", "text", F.col("to").alias("b"), F.lit(True).alias("guest"))
