@@ -83,7 +83,10 @@ def minimizers(spark, d):
 
 
 def index_postings(spark, d):
-    return seeds.postings(_minis(spark, d)).select("hash", "occ", F.element_at("places", 1)["read_id"].alias("first_read"), F.element_at("places", -1)["read_id"].alias("last_read"), F.size("places").cast("long").alias("n_places"))
+    lists = seeds.postings(_minis(spark, d))
+    first, last = F.element_at("places", 1)["read_id"], F.element_at("places", -1)["read_id"]
+    total = F.sum(F.size("places")).cast("long")
+    return lists.groupBy("hash").agg(total.alias("occ"), F.min(first).alias("first_read"), F.max(last).alias("last_read"), total.alias("n_places"))
 
 
 def index_key_stats(spark, d):
