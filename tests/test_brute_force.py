@@ -1,0 +1,238 @@
+"""Chains and order-dependent graph passes against plain code, over random inputs."""
+
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lacegraph.config import Options
+from lacegraph.operators import chain, simplify
+
+ARCS = "u long, v long, l int, ol int"
+
+
+def best_chain_length(points):
+    """Longest strictly increasing run of targets over seeds in order, by dynamic programming."""
+    longest = []
+    for i, p in enumerate(points):
+        longest.append(1 + max((longest[j] for j in range(i) if points[j] < p), default=0))
+    return max(longest, default=0)
+
+
+def test_chains_are_longest():
+    rng, options = random.Random(1), Options(min_count=1, max_gap=10**9)
+    for _ in range(400):
+        n, rev = rng.randint(0, 25), rng.random() < 0.5
+        j = np.sort(np.array([rng.randrange(20) for _ in range(n)], int))
+        rpos = np.array([rng.randrange(30) for _ in range(n)], int)
+        targets = [(-x if rev else x) for _, x in sorted(zip(j.tolist(), rpos.tolist()))]
+        line = chain.longest_increasing(targets)
+        assert len(line) == best_chain_length(targets) and all(targets[a] < targets[b] for a, b in zip(line, line[1:]))
+        got = chain.chain_positions(rev, j, j * 3, rpos, options)
+        if n:
+            (own,) = got
+            moved = [(-x if rev else x) for x in rpos[own]]
+            assert all(a < b for a, b in zip(moved, moved[1:])) and all(a < b for a, b in zip(j[own], j[own][1:]))
+
+
+def test_union_length():
+    rng = random.Random(2)
+    for _ in range(300):
+        starts = [rng.randrange(60) for _ in range(rng.randint(0, 12))]
+        assert chain.union_length(np.array(starts, int), 7) == len({x for s in starts for x in range(s, s + 7)})
+
+
+def test_regions_of_clusters(spark):
+    rng = random.Random(3)
+    rows = [(1, t, rng.random() < 0.5, 0, j, j * 5, rng.randrange(400)) for t in range(6) for j in range(60)]
+    rows = [(q, t, rev, (1 << 31) + r - p if not rev else p + r, j, p, r) for q, t, rev, _, j, p, r in rows]
+    df = spark.createDataFrame(rows, "qid long, tid long, rev boolean, diag long, j int, qpos int, rpos int")
+    options = Options(radius=60, min_count=4)
+    expected = Counter()
+    for (q, t, rev), group in itertools.groupby(sorted(rows, key=lambda x: x[:4]), key=lambda x: x[:3]):
+        group = list(group)
+        diags = [g[3] for g in group]
+        inside = [any(sum(a <= d <= a + 60 for d in diags) >= 4 and a <= x <= a + 60 for a in diags) for x in diags]
+        clusters, now = [], []
+        for i, g in enumerate(group):  # neighbours are of one cluster if a window of enough seeds holds both
+            if inside[i]:
+                if now and not any(a <= now[-1][3] and g[3] <= a + 60 and sum(a <= d <= a + 60 for d in diags) >= 4 for a in diags):
+                    clusters.append(now)
+                    now = []
+                now.append(g)
+        clusters += [now] if now else []
+        for c in clusters:
+            c = sorted(c, key=lambda x: (x[4], x[6]))
+            targets = [(-x[6] if rev else x[6]) for x in c]
+            line = [c[i] for i in chain.longest_increasing(targets)]
+            line = [s for i, s in enumerate(line) if not i or s[4] != line[i - 1][4]]
+            if len(line) >= 4:
+                spans = [len({x for s in line for x in range(s[k] - 14, s[k] + 1)}) for k in (5, 6)]
+                expected[q, t, rev, len(line), min(spans), line[0][5] - 14, line[-1][5] + 1, min(s[6] for s in line) - 14, max(s[6] for s in line) + 1] += 1
+    got = Counter(tuple(r) for r in chain.regions(chain.clusters(df, options), options).select("qid", "tid", "rev", "cnt", "len", "qs", "qe", "rs", "re").collect())
+    assert got == expected and expected
+
+
+class Plain:
+    """Arcs as a plain list, marked as deleted one by one; every question scans the whole list."""
+
+    def __init__(self, rows):
+        self.rows = sorted([u, l, v, o, True] for u, v, l, o in rows)
+
+    def out(self, x):
+        return [r for r in self.rows if r[0] == x and r[4]]
+
+    def vertices(self):
+        return sorted({y for u, _, v, _, _ in self.rows for y in (u, u ^ 1, v, v ^ 1)})
+
+    def remove(self, a, b):
+        for r in self.rows:
+            if (r[0], r[2]) in ((a, b), (b ^ 1, a ^ 1)):
+                r[4] = False
+
+    def remove_read(self, x):
+        for r in list(self.rows):
+            if r[4] and x >> 1 in (r[0] >> 1, r[2] >> 1):
+                r[4] = False
+
+    def kind(self, x):
+        out = self.out(x)
+        if len(out) != 1:
+            return ("TIP" if not out else "MULTI_OUT"), None
+        return ("MERGEABLE" if len(self.out(out[0][2] ^ 1)) == 1 else "MULTI_NEI"), out[0][2]
+
+    def extend(self, x, most):
+        path, kind = [x], None
+        for _ in range(most + 1):
+            kind, then = self.kind(path[-1])
+            if kind != "MERGEABLE":
+                break
+            path.append(then)
+            if len(path) > most:
+                break
+        return kind, path
+
+    def result(self):
+        return Counter((u, v, l, o) for u, l, v, o, live in self.rows if live)
+
+
+def plain_tips(g, most):
+    for x in g.vertices():
+        if g.out(x) and g.kind(x ^ 1)[0] == "TIP":
+            kind, path = g.extend(x, most)
+            if kind != "MERGEABLE":
+                for p in path:
+                    g.remove_read(p)
+
+
+def plain_internal(g, most):
+    for x in g.vertices():
+        if g.kind(x ^ 1)[0] == "MULTI_NEI":
+            kind, path = g.extend(x, most)
+            if kind == "MULTI_NEI":
+                for p in path:
+                    g.remove_read(p)
+
+
+def plain_biloops(g, most):
+    for x in g.vertices():
+        kind, into = g.kind(x ^ 1)
+        if kind == "MULTI_NEI" and (way := g.extend(x, most))[0] == "MULTI_OUT":
+            ways = {r[2]: r[3] for r in g.out(into ^ 1)}
+            other = way[1][-1] ^ 1
+            if ways.get(x, 0) > ways.get(other, 0):
+                g.remove(into ^ 1, other)
+
+
+def random_graph(rng, reads, arcs):
+    rows = {}
+    for _ in range(arcs):
+        if rng.random() < 0.6:  # mostly chains, so that walks are long
+            a = rng.randrange(reads - 1)
+            u, v = 2 * a, 2 * a + 2
+        else:
+            u, v = rng.randrange(2 * reads), rng.randrange(2 * reads)
+        if u >> 1 == v >> 1 or (u, v) in rows:
+            continue
+        l = rng.randint(1, 900)
+        rows[u, v] = rows[v ^ 1, u ^ 1] = (l, 1000 - l)
+    return [(u, v, l, o) for (u, v), (l, o) in rows.items()]
+
+
+@pytest.mark.parametrize(("name", "argument", "plain"), [("tip", 4, plain_tips), ("internal", 1, plain_internal), ("biloop", 4, plain_biloops)])
+def test_passes_equal_plain_code(name, argument, plain):
+    rng, changed = random.Random(4), 0
+    own = {"tip": simplify.cut_tips, "internal": simplify.cut_internal, "biloop": simplify.cut_biloops}[name]
+    for _ in range(300):
+        rows = random_graph(rng, rng.randint(2, 14), rng.randint(1, 40))
+        if not rows:
+            continue
+        g, p = simplify.Arcs(*zip(*rows)), Plain(rows)
+        own(g, argument)
+        plain(p, argument)
+        got = g.rows()
+        assert Counter(zip(got["u"], got["v"], got["l"], got["ol"])) == p.result()
+        changed += len(got["u"]) < len(rows)
+    assert changed > 30
+
+
+def reachable(rows, a):
+    seen, todo = {a}, [a]
+    while todo:
+        x = todo.pop()
+        for u, v, *_ in rows:
+            if u == x and v not in seen:
+                seen.add(v)
+                todo.append(v)
+    return seen
+
+
+def test_popped_bubbles_keep_one_way():
+    """Between source and sink of each bubble one way stays, of the graph's arcs, and nothing outside a bubble goes."""
+    rng, popped = random.Random(5), 0
+    for _ in range(300):
+        rows, ways = {}, rng.randint(2, 4)
+        for w in range(ways):  # source 0, sink 2; ways of one to three reads
+            path = [0, *(2 * (10 + 10 * w + i) for i in range(rng.randint(0 if w == 0 else 1, 3))), 2]
+            for a, b in zip(path, path[1:]):
+                l = rng.randint(50, 400)
+                rows[a, b] = rows[b ^ 1, a ^ 1] = (l, 1000 - l)
+        for a, b in ((4, 0), (2, 6)):  # arcs before and after
+            rows[a, b] = rows[b ^ 1, a ^ 1] = (100, 900)
+        flat = [(u, v, l, o) for (u, v), (l, o) in rows.items()]
+        g = simplify.Arcs(*zip(*flat))
+        n = simplify.pop_bubbles(g, 50_000)
+        got = g.rows()
+        left = list(zip(got["u"], got["v"], got["l"], got["ol"]))
+        assert set(left) <= set(flat) and {(4, 0, 100, 900), (2, 6, 100, 900)} <= set(left)
+        assert 6 in reachable(left, 4) and all(len([r for r in left if r[0] == x]) <= 1 for x in {r[0] for r in left})
+        assert Counter((u, v) for u, v, *_ in left) == Counter((v ^ 1, u ^ 1) for u, v, *_ in left)
+        popped += n
+        far = simplify.Arcs(*zip(*flat))
+        simplify.pop_bubbles(far, 10)
+        assert Counter(zip(*far.rows().values())) == Counter(flat)
+    assert popped >= 300
+
+
+def test_components_are_passed_on_their_own(spark):
+    rng = random.Random(6)
+    rows = []
+    for c in range(20):
+        rows += [(u + 100 * c, v + 100 * c, l, o) for u, v, l, o in random_graph(rng, 12, 25)]
+    df = spark.createDataFrame(rows, ARCS)
+    for name, argument, plain in (("tip", 4, plain_tips), ("internal", 1, plain_internal), ("biloop", 4, plain_biloops)):
+        p = Plain(rows)
+        plain(p, argument)
+        assert Counter(tuple(r) for r in simplify.each_component(df, (name, argument)).select("u", "v", "l", "ol").collect()) == p.result()
+
+
+def test_sample_is_a_sample(spark):
+    from lacegraph.operators import selection
+
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    got = [r.k for r in selection.sample_rows(df, "k", 400).collect()]
+    assert len(set(got)) == 400 and 2000 < sum(got) / 400 < 3000
+    assert selection.sample_rows(df, "k", 10**6).count() == 5000
