@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from dataclasses import fields
 
 from .config import Options, size_in_bytes
 from .plans.pipeline import run
-from .session import session
+from .session import LOG, session
 
 
 def options_from(args: argparse.Namespace) -> Options:
@@ -33,8 +34,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session(f"local[{args.threads}]" if args.threads else None)
-    if args.work_dir:
-        spark.sparkContext.setCheckpointDir(args.work_dir)
+    logging.basicConfig(level=logging.WARNING)
+    LOG.setLevel(logging.INFO)
     run(spark, args.phase, args.input, args.output, options_from(args))
 
 

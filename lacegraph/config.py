@@ -35,9 +35,9 @@ class Options:
     bubble_distance: int = 50000
     max_extension: int = 4
     drop_ratios: tuple[float, float, float] = (0.5, 0.7, 0.8)
-    # input blocks
+    # bytes of a text split
     block_bases: int = 64 << 20
-    # Hadoop path for tables between the phases; None: the session's checkpoint folder
+    # Hadoop path for tables between the steps of a phase; None: the session's checkpoint folder
     work_dir: str | None = None
 
     def __post_init__(self):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+LOG = logging.getLogger("lacegraph")
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -58,6 +61,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Counters:
+    """Counts of rows as they pass, taken by ``observe`` while the job that makes them runs; nothing is computed twice."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, name: str, **more: Column) -> DataFrame:
+        """``df``; once a job has read it all, ``values`` holds its number of rows and what else was asked for."""
+        self.seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in more.items()))
+
+    def values(self) -> dict[str, dict]:
+        """Of each watched name; waits for jobs that still run."""
+        return {name: seen.get for name, seen in self.seen.items()}
+
+    def log(self) -> None:
+        for name, got in self.values().items():
+            LOG.info("%s: %s", name, ", ".join(f"{k} {v}" for k, v in got.items()))
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this host import the package from a source tree (a cluster has it installed)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -23,3 +23,12 @@ def write_lengths(reads: DataFrame, path: str) -> None:
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("read_id BIGINT, len INT").parquet(path)
+
+
+def storage_stats(spark: SparkSession, path: str, item_bytes: int) -> dict[str, float]:
+    """items, blocks (files), bytes and factor (how much smaller than ``item_bytes`` an item is stored) of a written table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    sizes = [f.getLen() for f in system.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+    items = spark.read.parquet(path).count()  # from the footers
+    return {"items": items, "blocks": len(sizes), "bytes": sum(sizes), "factor": items * item_bytes / max(sum(sizes), 1)}
