@@ -16,8 +16,9 @@ from ..session import Scratch, cut, ship
 __all__ = ["Scratch", "cut", "lists_of", "map_arrow", "read"]
 
 
-#: Whole texts are long, so Arrow batches of the default 10,000 rows would take much memory on both sides.
-BATCH_ROWS = 1000
+#: Of a batch, which Spark bounds by spark.sql.execution.arrow.maxBytesPerBatch, Python objects are made of about so many
+#: bytes at once.
+SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +34,15 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
-    """mapInArrow with a state that is made once a task (fn()), on slices of at most ``rows`` rows."""
+    """mapInArrow with a state that is made once a task (fn()), on slices of at most ``rows`` rows and some megabytes."""
     ship(df.sparkSession)
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield each(batch.slice(at, rows))
+            step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                yield each(batch.slice(at, step))
         getattr(each, "close", int)()
         del each
         give_back()

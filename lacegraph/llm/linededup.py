@@ -5,11 +5,15 @@ a line whose share exceeds ``ratio`` is boilerplate of that host and dropped fro
 96-bit hash, once a page, with partial sums before the shuffle. A line on fewer than ``least_copies`` pages gives no
 evidence; hosts of every size are judged by the same ratio.
 
-A host can have at most (mean lines a page) / ratio boilerplate lines. They are sent to its pages as one array: by
-broadcast up to ``BROADCAST_ROWS`` rows, else by a join on the host and a salt, as one host may hold a third of all rows.
-
-Defined results: a null text stays null with 0 lines; blank lines are neither counted nor dropped; a null host is a host
-of its own; rows that share an id count as pages of their own; a document is kept even if all its lines go.
+A host can have at most (mean lines a page) / ratio boilerplate lines. They are sent to its pages as arrays, in which a
+line is sought by its first 64 bits before the rest: by broadcast up to ``BROADCAST_ROWS`` lines of two numbers each, else by a join on the host and
+a salt, as one host may hold a third of all rows.
+
+Defined results: a null text stays null with 0 lines; an empty text is one blank line; blank lines are neither counted nor
+dropped; a null host is a host of its own; a line that a page repeats counts once and all its places go; rows that share
+an id count as pages of their own; very long texts are read whole; a document is kept even if all its lines go; an input
+column named like one of the two counts is replaced by it, and other columns stay as they are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text
     """``pages`` with the text's boilerplate lines dropped, and the columns n_lines and n_dropped (long)."""
     found = cut(boilerplate(pages, host_col, text_col, ratio, least_copies))
     n = found.count()
-    arrays = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__drop")).withColumnRenamed("host", "__host")
+    pages = pages.drop("n_lines", "n_dropped")
+    arrays = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__drop")).select(F.col("host").alias("__host"), "__drop", F.col("__drop.a").alias("__first"))
     same = F.col("__p").eqNullSafe(F.col("__host"))
     rows = pages.withColumn("__p", F.col(host_col).cast("string"))
     if n <= BROADCAST_ROWS:
@@ -49,6 +54,6 @@ def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text
         arrays = arrays.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__s", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(arrays, same & (F.col("__s") == F.col("__t")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x))))
+    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~(F.array_contains("__first", F.xxhash64(x)) & F.array_contains("__drop", _key(x)))))
     rows = rows.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long"))
-    return rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn(text_col, F.array_join("__kept", "\n")).drop("__p", "__host", "__drop", "__kept", "__s", "__t")
+    return rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn(text_col, F.array_join("__kept", "\n")).drop("__p", "__host", "__drop", "__first", "__kept", "__s", "__t")

@@ -147,6 +147,15 @@ def test_line_dedup(spark, docs, cases):
     assert table(linededup.drop_lines(df).select("doc_id", "source", "text", "n_lines", "n_dropped")) == expected
 
 
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    rows = [(i, "s", f"menu\nown {i}", 99, 98, "h", 1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_lines int, n_dropped int, host string, a int, total int")
+    got = linededup.drop_lines(df)
+    assert got.columns == ["doc_id", "source", "text", "host", "a", "total", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in got.collect()} == {(i, "s", f"own {i}", "h", 1, 2, 2, 1) for i in range(30)}
+    assert linededup.drop_lines(df.where("doc_id < 0")).count() == 0
+
+
 def test_line_dedup_judges_small_hosts(spark):
     rows = [(100 * n + i, f"h{n}", f"menu\nown {i}") for n in (3, 4, 19) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
