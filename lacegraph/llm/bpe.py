@@ -2,14 +2,15 @@
 
 The bytes of a pre-token are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary finds every token
 that occurs in it in one pass. Encoding walks left to right with the longest match and steps back to shorter prefixes
-when two neighbours could not stand beside each other in a merged result. Whether they can is decided by undoing
-merges across the seam, and is memoised; so the exact merges come out in time linear in the length.
+when two neighbours could not stand beside each other in a merged result. Whether they can depends on the parts that
+touch at their seam while both are built, and is memoised; so the exact merges come out in time linear in the length.
 
 A text is cut at spaces first, wherever the pattern must start a new match, and the ids of words and of pre-tokens are
 kept in tables of bounded size, so that a common word costs one look-up.
 
-Defined results: null and empty texts have no tokens; ids decode to the same UTF-8 bytes; equal rows give equal results;
-other columns are ignored.
+Defined results: null and empty texts have no tokens; very long texts, and pre-tokens of any length, are encoded whole; ids
+decode to the same UTF-8 bytes; equal texts, so repeated rows and ties too, give equal results; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,29 +109,29 @@ class Codec:
         return got
 
     def _compatible(self, left: int, right: int) -> bool:
-        limit = 1 << 62
+        """Merges run by ascending rank, so a part lives from its own rank to that of the part that takes it in. Two parts
+        that touch at the seam at the same time would merge if their own rank came before both their ends: of equal
+        merges the leftmost is first, so the left part must still be there after it, the right part not."""
+        ranks, bytes_of, halves = self.ranks, self.bytes_of, self.halves
+        touching, part, end = [], right, 1 << 62
         while True:
-            made = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-            if made is not None and made < limit and self.undo(made) == (left, right):
-                return False
-            if left > right:  # the later merge is undone first
-                limit, (_, inner) = left, self.undo(left)
-                if inner != left:
-                    left = inner
-                    continue
-                limit, (outer, _) = right + 1, self.undo(right)
-                if outer == right:
-                    return True
-                right = outer
-            else:
-                limit, (outer, _) = right + 1, self.undo(right)
-                if outer != right:
-                    right = outer
-                    continue
-                limit, (_, inner) = left, self.undo(left)
-                if inner == left:
-                    return True
-                left = inner
+            touching.append((bytes_of[part], part, end))
+            inner = (halves.get(part) or self.undo(part))[0]
+            if inner == part:
+                break
+            part, end = inner, part
+        part, end = left, 1 << 62
+        while True:
+            own = bytes_of[part]
+            for other, born, gone in touching:
+                if born < end and part < gone:
+                    rank = ranks.get(own + other, end)
+                    if rank < end and rank <= gone:
+                        return False
+            inner = (halves.get(part) or self.undo(part))[1]
+            if inner == part:
+                return True
+            part, end = inner, part
 
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix; -1 if none."""

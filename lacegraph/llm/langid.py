@@ -2,10 +2,13 @@
 
 A linear support vector machine first picks the language family; one-versus-one machines then separate the languages
 within it, by votes weighted with their margins. Features are hashed character 1- to 3-grams of the letters, as square
-roots of their shares. Both levels are trained on a bounded, documented number of rows of each language.
+roots of their shares. Both levels are trained on the driver, on a bounded, documented number of rows of each language and
+of all together.
 
-Defined results: a null text and one without a letter is ``und`` with score 0; ties go to the language that comes
-first in order; with a single learned language every text with a letter is that language. Other columns are ignored.
+Defined results: a null or empty text and one without a letter is ``und`` with score 0; very long texts are read whole;
+ties go to the language that comes first in order; with a single learned language every text with a letter is that
+language, with none (an empty table) every text is ``und``; equal texts, so repeated rows too, get equal results. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    #: At most about so many training rows of each language.
+    #: At most about so many training rows of each language, and of all (2 * 2^bits bytes a row on the driver).
     rows_per_language: int = 1000
+    rows: int = 20_000
     bits: int = 11
     rounds: int = 150
     penalty: float = 1e-4
@@ -128,7 +132,7 @@ def fit(labelled: DataFrame, params: Params = Params(), text_col: str = "text",
     if len(languages) < 2:
         return empty
     place = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for c in languages for x in (c, min(1.0, params.rows_per_language / sizes[c]))])
+    share = F.create_map(*[F.lit(x) for c in languages for x in (c, min(1.0, min(params.rows_per_language, params.rows / len(languages)) / sizes[c]))])
     sample = rows.where(F.col("lang") != UNKNOWN).where(place < share[F.col("lang")])
 
     def make():
@@ -138,7 +142,7 @@ def fit(labelled: DataFrame, params: Params = Params(), text_col: str = "text",
 
         return each
 
-    got = map_arrow(sample, make, "lang string, v binary").collect()  # bounded by rows_per_language
+    got = map_arrow(sample, make, "lang string, v binary").collect()  # bounded by the parameters
     if not got:
         return empty
     x = np.stack([np.frombuffer(r.v, np.float16) for r in got]).astype(np.float32)
