@@ -229,6 +229,103 @@ def test_components_are_passed_on_their_own(spark):
         assert Counter(tuple(r) for r in simplify.each_component(df, (name, argument)).select("u", "v", "l", "ol").collect()) == p.result()
 
 
+def tangles(rng):
+    """Tangles with tips, bubbles and bi-loops, between long paths, in one component; and a circle."""
+    rows, new = {}, itertools.count(0, 2)
+
+    def arc(a, b):
+        l = rng.randint(20, 400)
+        rows[a, b] = rows[b ^ 1, a ^ 1] = (l, 1000 - l)
+
+    def path(a, n, b=None):
+        for _ in range(n):
+            arc(a, x := next(new))
+            a = x
+        if b is not None:
+            arc(a, b)
+        return a
+
+    at = next(new)
+    for _ in range(6):
+        at = path(at, rng.randint(14, 40))
+        for _ in range(rng.randint(1, 3)):
+            fork, at = at, next(new)
+            for _ in range(rng.randint(1, 3)):
+                path(fork, rng.randint(1, 4), at)
+            if rng.random() < 0.5:
+                path(rng.choice((fork, at, fork ^ 1, at ^ 1)), rng.randint(1, 6))
+            if rng.random() < 0.5:
+                path(fork, 1, rng.choice((at ^ 1, fork ^ 1, at)))
+    path(at, 30)
+    first = next(new)
+    path(first, 30, first)
+    return [(u, v, l, o) for (u, v), (l, o) in rows.items()]
+
+
+def test_pieces_are_passed_as_the_whole(spark):
+    rng, cuts = random.Random(7), 0
+    for _ in range(4):
+        rows = tangles(rng)
+        df = spark.createDataFrame(rows, ARCS)
+        for passes in ((("tip", 4), ("bubble", 1500)), (("internal", 1), ("biloop", 4), ("tip", 4), ("bubble", 900))):
+            whole, pieces = (Counter(map(tuple, simplify.each_component(df, *passes, one_task_arcs=n).select("u", "v", "l", "ol").collect())) for n in (10**9, 0))
+            assert whole == pieces and sum(whole.values()) < len(rows)
+        deep = simplify.insulated(df, 1500, 6)
+        assert not Counter(map(tuple, deep.collect())) - Counter((u, v) for u, v, *_ in rows)
+        parts = df.join(deep, ["u", "v"], "left_anti")
+        names = {r.component for r in simplify.with_component(parts).select("component").distinct().collect()}
+        cuts += len(names) > 4
+    assert cuts == 4
+
+
+def plain_unitigs(rows, size):
+    """Each path without branches once, as the vertices from its lowest vertex with an arc, or through it."""
+    out = {}
+    for u, v, l, _ in rows:
+        out.setdefault(u, []).append((v, l))
+    step = {u: vs[0] for u, vs in out.items() if len(vs) == 1 and len(out.get(vs[0][0] ^ 1, ())) == 1}
+    back = {v: u for u, (v, _) in step.items()}
+    seen, found = set(), []
+    for x in sorted(out):
+        if x in seen:
+            continue
+        path = [x]
+        while path[-1] in step and step[path[-1]][0] != x:
+            path.append(step[path[-1]][0])
+        circle = path[-1] in step
+        while not circle and path[0] in back:
+            path.insert(0, back[path[0]])
+        seen.update(y for p in path for y in (p, p ^ 1))
+        pieces = [step[p][1] if p in step else size for p in path]
+        found.append((x, sum(pieces), circle, None if circle else path[0], None if circle else path[-1] ^ 1, list(zip(path, pieces))))
+    return [(i, *f[1:]) for i, f in enumerate(found)]
+
+
+def test_unitigs_equal_plain_code(spark):
+    rng = random.Random(8)
+    graphs = [tangles(rng)] + [random_graph(rng, 40, n) for n in (30, 60)]
+    rows = [(u + 10_000 * g, v + 10_000 * g, l, o) for g, rows in enumerate(graphs) for u, v, l, o in rows] + [(90_000, 90_000, 7, 3), (90_001, 90_001, 7, 3)]
+    reads = sorted({x >> 1 for r in rows for x in r[:2]})
+    got = simplify.unitigs(spark.createDataFrame(rows, ARCS), spark.createDataFrame([(r, 1200) for r in reads], "read_id long, len int")).orderBy("utg_id").collect()
+    assert [(r.utg_id, r.len, r.circ, r.start, r.end, [tuple(x) for x in r.reads]) for r in got] == plain_unitigs(rows, 1200)
+    assert sum(r.circ for r in got) >= 2
+    assert simplify.unitigs(spark.createDataFrame([], ARCS), spark.createDataFrame([], "read_id long, len int")).collect() == []
+
+
+def test_groups_that_span_batches(spark):
+    from lacegraph.operators.grouped import map_groups
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(k, i) for k, n in enumerate((1, 50, 7, 14, 3, 0, 200, 1)) for i in range(n)]
+        one = lambda c: {"k": [int(c["k"][0])], "n": [len(c["i"])], "ok": [c["i"].tolist() == list(range(len(c["i"])))]}
+        got = map_groups(spark.createDataFrame(rows, "k long, i long"), ["k"], ["i"], one, "k long, n long, ok boolean", ["k", "n", "ok"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert Counter(map(tuple, got)) == Counter((k, n, True) for k, n in Counter(k for k, _ in rows).items())
+
+
 def test_sample_is_a_sample(spark):
     from lacegraph.operators import selection
 
