@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lists_of, map_arrow
 
 #: Entries that a worker keeps of words and of other pre-tokens (two generations of so many each) and of pairs.
-WORDS, PIECES, PAIRS = 200_000, 60_000, 150_000
+WORDS, PIECES, PAIRS = 400_000, 60_000, 400_000
 #: A space between white space on both sides, or after one at the end, belongs to a longer match.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -67,8 +67,8 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.size = list(map(len, self.bytes_of))
-        #: For each token the longest token that is a proper prefix (-1: none, -2: not looked up yet).
-        self.shorter = [-2] * len(self.size)
+        #: For each token the longest token that is a proper prefix (-1: none).
+        self.shorter = [next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1) for token in self.bytes_of]
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
         self.follow: dict[int, int] = {}
@@ -133,13 +133,6 @@ class Codec:
                 return True
             part, end = inner, part
 
-    def prefix(self, token: int) -> int:
-        """The longest token that is a proper prefix; -1 if none."""
-        if (got := self.shorter[token]) == -2:
-            word = self.bytes_of[token]
-            got = self.shorter[token] = next((self.ranks[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.ranks), -1)
-        return got
-
     def first_fit(self, last: int, token: int) -> int:
         """The longest of a token and its prefixes that can follow ``last``; -1 if none. Memoised."""
         if len(self.follow) > PAIRS:
@@ -149,7 +142,7 @@ class Codec:
             fit = self.fits.get(last << 20 | token)
             if fit or fit is None and self.compatible(last, token):
                 break
-            token = self.prefix(token)
+            token = self.shorter[token]
         self.follow[key] = token
         return token
 
@@ -175,19 +168,26 @@ class Codec:
 
     def _search(self, size: int, longest: list[int], out: list[int], at: int) -> list[int]:
         """Go on from a place where nothing fits: close it, and try the token before shorter, as far back as needed."""
-        sizes, closed = self.size, {at}
+        sizes, shorter, follow, closed = self.size, self.shorter, self.follow, {at}
         token = out.pop()
         at -= sizes[token]
+        token = shorter[token]
         while at < size:
-            last = out[-1] if out else -1
-            if at + sizes[token] not in closed and (last < 0 or self.first_fit(last, token) == token):
-                out.append(token)
-                at += sizes[token]
-                token = longest[at]
-            elif (token := self.prefix(token)) < 0:
+            if out and token >= 0:
+                last = out[-1]
+                fit = follow.get(last << 20 | token)
+                token = self.first_fit(last, token) if fit is None else fit
+            if token < 0:
                 closed.add(at)
                 token = out.pop()
                 at -= sizes[token]
+                token = shorter[token]
+            elif at + sizes[token] in closed:
+                token = shorter[token]
+            else:
+                out.append(token)
+                at += sizes[token]
+                token = longest[at]
         return out
 
     def encode(self, text: str) -> np.ndarray:
