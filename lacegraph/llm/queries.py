@@ -1,12 +1,13 @@
-"""The queries op1 to op10 over the driver's tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, fingerprint, html_extract, langid, linededup, neardup, secrets, token_counts, toxicity
+from . import bpe, conv_repair, decontam, fingerprint, html_extract, langid, linededup, neardup, prefix_trie, secrets, token_counts, toxicity, url_filter
 from .common import read
+from .conversation_sql import OP11_SQL, OP12_SQL
 
 
 def _fold(n: int) -> Column:
@@ -65,6 +66,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), prefix_trie.rebuilt)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conv_repair.report(conv_repair.damage(turns), turns)
+
+
+#: The rules of op13_url_filter; the URLs that they decide are its labels.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    model = url_filter.fit(url_filter.labelled_by(pages, RULES))
+    return url_filter.judge(pages, RULES, model)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,11 +92,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_fingerprints, op4_byte_bpe, op5_language_id, op6_html_extraction, op7_decontamination, op8_line_dedup, op9_token_counts, op10_near_duplicates, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_fingerprints, op4_byte_bpe, op5_language_id, op6_html_extraction, op7_decontamination, op8_line_dedup, op9_token_counts, op10_near_duplicates, op11_prefix_trie, op12_conversation_repair, op13_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL}
+    return {"op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_conversation_repair": OP12_SQL}
 
 
 OP8_SQL = f"""
