@@ -174,7 +174,7 @@ def _pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, turn, _, _, initial, truncated, blank, first, copies in group:
             if turn is not None and (not turns or turns[-1] != turn):
                 turns.append(turn)
-            initial = initial if initial in INITIALS[:3] else "o"
+            initial = initial if initial and initial in INITIALS[:3] else "o"
             for copy in range(copies):
                 later = copy > 0 or not first
                 kind = "d" if blank or later else "t" if truncated else "n"

@@ -44,6 +44,8 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, y int").write.parquet(f"{path}/labels.parquet")
     pages = [(i, f"u{i}", f"<nav><a href=x>menu {i}</a></nav><article><h1>Title {i}</h1><p>Some words &amp; more of page {i}.</article><footer>foot</footer>") for i in range(30)]
     spark.createDataFrame([*pages, (30, None, None), (31, "u", "")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    turns = [(i % 7, i // 7, "user", f"turn {i}.", 1) for i in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, place int").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -121,7 +123,7 @@ def test_op6(spark, folder):
 
 
 def test_empty_tables(spark, folder, tmp_path):
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     spark.createDataFrame([(1, "some words of an item that nothing holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, query in queries.queries().items():

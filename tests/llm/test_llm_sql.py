@@ -16,7 +16,7 @@ def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     names, expected = [d[0] for d in rel.description], rel.fetchall()
