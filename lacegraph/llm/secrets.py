@@ -5,7 +5,8 @@ brackets and indents turns these into pairs of a target's path and its literal:
 of objects and arrays, YAML and JSON nesting, named and positional arguments, subscripts, XML elements and attributes, and
 ``name``/``value`` neighbours. A right side that names an earlier target of the same or an outer scope takes over its
 literals (constant propagation); concatenated ones are joined. Results of calls are no literals, but what a decoder or a
-type's constructor is given is. Comments are read on their own. A literal is scored by how sensitive the names on its
+type's constructor is given is. Comments are read on their own, and so are strings that begin with a name and a sign; what an
+f-string fills in doesn't count, and a bare identifier or a word with a mark behind it is no literal. A literal is scored by how sensitive the names on its
 path are, the nearest most, and by how much it looks like a credential. Fixed patterns run beside it and their spans
 always stay.
 
@@ -44,9 +45,11 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|dummy|test|nul
 #: Least score of a literal that is reported, and the least length of one.
 LEAST_SCORE, LEAST_LENGTH = 4.0, 8
 
-#: What is left of a name's weight for each level further out on the path, how many levels count, and of how many
-#: literals a constant may be put together.
-OUTER, LEVELS, PIECES = 0.8, 32, 64
+#: What is left of a name's weight for each level further out on the path. A constant put together from earlier ones is
+#: weighed as a whole up to so many characters; beyond, its own literals are weighed with the short ones among the earlier
+#: constants, and each long one as it was.
+OUTER, JOINED, SHORT = 0.8, 4096, 64
+SCHEMES = {"bearer", "basic", "token"}  # words before a credential
 # Calls that return what they are given, and neighbours that name and hold a value.
 GIVERS = {"str", "string", "bytes", "bytearray", "b64decode", "atob", "decode", "from", "fromhex", "unhexlify", "secretstr", "char", "literal", "secret"}
 NAMING, HOLDING = {"name", "key", "id", "k"}, {"value", "val", "v"}
@@ -55,6 +58,10 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>|]++""")
 _PATH = re.compile(r"[A-Za-z_$][A-Za-z_$]*+(?:[.\->:]++[A-Za-z_$][A-Za-z_$]*+)++")
 _IDENTIFIER = re.compile(r"[A-Za-z_][\w.-]*+")
+_LINE_END, _HOLE = re.compile(r"[ \t\r]*+(?:\n|\Z)"), re.compile(r"\{[^{}]*\}")
+_NAMED = re.compile(r"[A-Za-z][\w.-]*+[ ]?[:=]")
+_CODE = re.compile(r"_*[A-Za-z]+(?:_+[A-Za-z]+)+_*|[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+[!?.]+")  # an identifier, or a word that ends a sentence
+_LONGEST = max(map(len, GIVERS))
 _ELEMENT = re.compile(r"[^<>]*+(?=</)")
 _COMMENT = r"""(?P<block>/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))|(?P<line>(?<![^\s;{}(),])(?:\#|//|--[ ])[^\n]*+)|"""
 _TOKEN = r"""(?P<nl>\n[ \t]*+(?:-[ ]++)*+)
@@ -71,8 +78,9 @@ def name_weight(name: str) -> float:
     return sum(SENSITIVE.get(w) or SENSITIVE.get(w.removesuffix("s"), 0.0) for w in words)
 
 
-def path_weight(path: tuple[str, ...]) -> float:
-    return max((name_weight(n) * OUTER**i for i, n in enumerate(reversed(path))), default=0.0)
+def under(outer: float, name: str) -> float:
+    """The weight of a path from that of its outer part and its last name."""
+    return max(name_weight(name), OUTER * outer)
 
 
 def literal_weight(value: str) -> float:
@@ -87,12 +95,34 @@ def literal_weight(value: str) -> float:
 
 @dataclass(slots=True)
 class Part:
-    """A literal: its place, its value, and whether it stands on the right side itself."""
+    """A literal that stands in the text: its place and its value."""
 
     start: int
     end: int
     value: str
-    here: bool = True
+
+
+class Places:
+    """Places of literals, and those of earlier constants; shared, never copied."""
+
+    __slots__ = ("own", "of")
+
+    def __init__(self, own: tuple[tuple[int, int], ...], of: tuple["Places", ...]):
+        self.own, self.of = own, of
+
+
+@dataclass(slots=True)
+class Constant:
+    """What a name was set to: its value if that is short, its weight once it was asked for, and its literals."""
+
+    value: str | None
+    weight: float | None
+    places: Places
+
+    def weigh(self) -> float:
+        if self.weight is None:
+            self.weight = literal_weight(self.value)
+        return self.weight
 
 
 @dataclass(slots=True)
@@ -100,38 +130,58 @@ class Frame:
     """What is open: a bracket or the whole text."""
 
     opened: str = ""
-    path: tuple[str, ...] = ()
+    path: float = 0.0  # the weight of the names that it stands under
     takes: bool = False  # bare literals in it belong to its path
-    want: tuple[str, ...] | None = None  # the target whose right side is being read
+    want: str | None = None  # the target whose right side is being read, and the weight of its path
+    weight: float = 0.0
     parts: list[Part] = field(default_factory=list)
+    pieces: list[str] = field(default_factory=list)  # the value, while it is short and known
+    size: int = 0
+    refs: dict[int, Constant] = field(default_factory=dict)
     first: str = ""  # the first literal argument, or the last name of a name and value pair
     known: set[str] = field(default_factory=set)  # the names that it sets
     base: str = ""  # the name before a subscript
-    indents: list[tuple[int, str]] = field(default_factory=list)
+    indents: list[tuple[int, float]] = field(default_factory=list)  # YAML mappings and the weights of their paths
     scopes: list[tuple[int, set[str]]] = field(default_factory=list)  # indented bodies, by their head's indent
 
+    @property
+    def held(self) -> bool:
+        return bool(self.parts or self.refs or self.pieces)
+
+    def clear(self) -> None:
+        self.parts, self.pieces, self.size, self.refs = [], [], 0, {}
+
+    def add(self, value: str | None) -> None:
+        self.size += JOINED + 1 if value is None else len(value)
+        if self.size <= JOINED:
+            self.pieces.append(value)
+        else:
+            self.pieces.clear()
+
 
 def _unquoted(text: str, start: int, end: int) -> Part:
     a = start
     while text[a] not in "\"'`":
         a += 1
     quote = text[a] * (3 if text[a : a + 3] in ('"""', "\'\'\'") and end - a >= 6 else 1)
-    return Part(a + len(quote), max(a + len(quote), end - (len(quote) if text.endswith(quote, a + len(quote), end) else 0)), "")
+    low, high = a + len(quote), max(a + len(quote), end - (len(quote) if text.endswith(quote, a + len(quote), end) else 0))
+    value = text[low:high]
+    return Part(low, high, _HOLE.sub("", value) if "f" in text[start:a].lower() else value)
 
 
 class Reader:
-    """One pass over a text's tokens; ``pairs`` are (path, parts)."""
+    """One pass over a text's tokens; ``found`` are the spans of the literals that sensitive names hold."""
 
-    def __init__(self, text: str, low: int = 0, high: int | None = None):
-        self.text, self.high = text, len(text) if high is None else high
-        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in (_WITHIN if low else _LEX).finditer(text, low, self.high)]
-        self.known: dict[str, list[list[Part]]] = {}  # for each name what the open scopes set it to, the inmost last
-        self.pairs: list[tuple[tuple[str, ...], list[Part]]] = []
+    def __init__(self, text: str, low: int = 0, high: int | None = None, found: set[tuple[int, int]] | None = None):
+        self.text, self.low, self.high = text, low, len(text) if high is None else high
+        self.found = set() if found is None else found
+        self.known: dict[str, list[Constant]] = {}  # for each name what the open scopes set it to, the inmost last
+        self.told: dict[int, Places] = {}  # places that were reported as a whole
         self.stack = [Frame()]
         self.indent = self.refused = 0
         self.read()
 
-    def lookup(self, name: str) -> list[Part] | None:
+    def lookup(self, name: str) -> Constant | None:
         return self.known[name][-1] if self.known.get(name) else None
 
     def leave(self, names: set[str]) -> None:
@@ -139,34 +189,70 @@ class Reader:
         for name in names:
             self.known[name].pop()
 
-    def define(self, scope: set[str], name: str, parts: list[Part]) -> None:
+    def define(self, scope: set[str], name: str, constant: Constant) -> None:
         if name in scope:
-            self.known[name][-1] = parts
+            self.known[name][-1] = constant
         else:
             scope.add(name)
-            self.known.setdefault(name, []).append(parts)
+            self.known.setdefault(name, []).append(constant)
+
+    def tell(self, constants: list[Constant]) -> None:
+        """Report all places of constants, each only once."""
+        todo = [x.places for x in constants]
+        while todo:
+            places = todo.pop()
+            if id(places) not in self.told:
+                self.told[id(places)] = places
+                self.found.update(places.own)
+                todo += places.of
+
+    def judge(self, weight: float, part: Part) -> None:
+        """Report one literal under names of some weight."""
+        if weight > 0 and weight + literal_weight(part.value) >= LEAST_SCORE:
+            self.found.add((part.start, part.end))
 
     def finish(self, frame: Frame) -> None:
         """The right side has ended."""
-        if frame.want and frame.parts:
-            name = frame.want[-1]
-            self.pairs.append((frame.want, frame.parts))
-            if len(frame.parts) <= PIECES:
-                self.define(frame.scopes[-1][1] if frame.scopes else frame.known, name, frame.parts)
+        name, parts, refs = frame.want, frame.parts, list(frame.refs.values())
+        if name is not None and frame.held:
+            if frame.size <= JOINED:
+                constant = Constant("".join(frame.pieces), None, self.places(parts, refs))
+            else:
+                short = [x.value for x in refs if x.value is not None and len(x.value) <= SHORT]
+                weights = [x.weigh() for x in refs if x.value is None or len(x.value) > SHORT]
+                constant = Constant(None, max([literal_weight("".join([*(p.value for p in parts), *short])), *weights]), self.places(parts, refs))
+            self.hold(frame.weight, constant, parts, refs)
+            self.define(frame.scopes[-1][1] if frame.scopes else frame.known, name, constant)
             if name.lower() in NAMING:
-                frame.first = "".join(p.value for p in frame.parts)
+                frame.first = constant.value or ""
             elif name.lower() in HOLDING and frame.first:
-                self.pairs.append(((*frame.path, frame.first), frame.parts))
-        frame.want, frame.parts = None, []
+                self.hold(under(frame.path, frame.first), constant, parts, refs)
+        frame.want = None
+        frame.clear()
+
+    @staticmethod
+    def places(parts: list[Part], refs: list[Constant]) -> Places:
+        return refs[0].places if len(refs) == 1 and not parts else Places(tuple((p.start, p.end) for p in parts), tuple(x.places for x in refs))
+
+    def hold(self, weight: float, constant: Constant, parts: list[Part], refs: list[Constant]) -> None:
+        """Report what a target of some weight is set to: what stands here as one span, and each literal of earlier names."""
+        if weight > 0 and weight + constant.weigh() >= LEAST_SCORE:
+            if parts:
+                self.found.add((parts[0].start, parts[-1].end))
+            self.tell(refs)
 
     def item(self, frame: Frame, part: Part) -> None:
         """A literal that no name stands before: an array's element or an argument."""
         if frame.takes:
-            path = (*frame.path, frame.first) if frame.opened == "(" and frame.first else frame.path
-            self.pairs.append((path, [part]))
+            self.judge(under(frame.path, frame.first) if frame.opened == "(" and frame.first else frame.path, part)
         if frame.opened == "(" and not frame.first and _IDENTIFIER.fullmatch(part.value):
             frame.first = part.value
 
+    def inside(self, part: Part) -> None:
+        """A string may hold a name and its value itself, as headers and addresses of databases do."""
+        if self.low == 0 and _NAMED.match(self.text, part.start, part.end):
+            Reader(self.text, part.start, part.end, self.found)
+
     def bare(self, frame: Frame, at: int) -> int:
         """An unquoted right side at a place; where it ends."""
         while at < self.high and self.text[at] in " \t":
@@ -175,31 +261,46 @@ class Reader:
         if not m:
             return at
         value = m.group().rstrip(":")
-        after = self.text[m.end() : m.end() + 1]
+        after = self.text[m.end() : min(m.end() + 1, self.high)]
         got = self.lookup(value)
         if got is not None:
-            frame.parts += [Part(p.start, p.end, p.value, False) for p in got]
+            frame.refs[id(got)] = got
+            frame.add(got.value)
             return m.end()
+        if value.lower() in SCHEMES and after == " " and (then := _BARE.match(self.text, m.end() + 1, self.high)):
+            at, m, value, after = m.end() + 1, then, then.group(), self.text[then.end() : min(then.end() + 1, self.high)]
         if after not in ("(", "[", "{", '"', "'", "`"):
-            frame.parts.append(Part(at, at + len(value), value))
+            if not _CODE.fullmatch(value):
+                frame.parts.append(Part(at, at + len(value), value))
+            frame.add(value)
             return m.end()
         self.refused = m.end()  # what begins within it ends alike
         return at
 
+    def caller(self, end: int) -> str:
+        """The name that ends before a bracket, if it is no longer than those of ``GIVERS``."""
+        start = end
+        while start > self.low and end - start <= _LONGEST and (self.text[start - 1].isalnum() or self.text[start - 1] == "_"):
+            start -= 1
+        return self.text[start:end]
+
     def read(self) -> None:
-        text, tokens = self.text, self.tokens
+        text = self.text
         before, name, skip = "", "", -1  # the kind of the last token, and the name that an operator would assign to
-        for i, (kind, start, end) in enumerate(tokens):
+        tokens = (_WITHIN if self.low else _LEX).finditer(text, self.low, self.high)
+        m = next(tokens, None)
+        while m is not None:
+            kind, (start, end), m = m.lastgroup, m.span(), next(tokens, None)
             if start < skip:
                 continue
             frame = self.stack[-1]
             if kind in ("line", "block"):
                 lead = 1 if text[start] == "#" else 2 if kind == "line" or text[start] == "/" else 4
-                self.pairs += Reader(text, start + lead, end).pairs
+                Reader(text, start + lead, end, self.found)
                 continue
             if kind == "nl":
-                if before == "assign" and frame.want and not frame.parts and not frame.opened:
-                    frame.indents.append((self.indent, frame.want[-1]))  # a YAML mapping
+                if before == "assign" and frame.want is not None and not frame.held and not frame.opened:
+                    frame.indents.append((self.indent, frame.weight))  # a YAML mapping
                     frame.want = None
                 elif before not in ("assign", "join"):
                     self.finish(frame)
@@ -212,23 +313,21 @@ class Reader:
                         self.leave(frame.scopes.pop()[1])
                     if dash:
                         frame.first = ""
-                        stop = text.find("\n", end, self.high)
-                        line = Part(end, stop if stop >= 0 else self.high, "")
-                        if frame.indents and (m := _BARE.match(text, end, self.high)) and not text[m.end() : line.end].strip() and ":" not in m.group():
-                            self.pairs.append((tuple(n for _, n in frame.indents[-LEVELS:]), [Part(m.start(), m.end(), m.group())]))
+                        if frame.indents and (entry := _BARE.match(text, end, self.high)) and ":" not in entry.group() and _LINE_END.match(text, entry.end(), self.high):
+                            self.judge(frame.indents[-1][1], Part(*entry.span(), entry.group()))
                 before = "nl" if before not in ("assign", "join") else before
                 continue
             token = text[start:end]
             if kind == "str":
                 part = _unquoted(text, start, end)
-                part.value = text[part.start : part.end]
+                self.inside(part)
                 if frame.want is not None and before in ("assign", "join", "str", "given"):
                     frame.parts.append(part)
+                    frame.add(part.value)
                     before = "str"
                     continue
                 self.finish(frame)
-                follow = tokens[i + 1] if i + 1 < len(tokens) else None
-                if follow and follow[0] == "op" and text[follow[1] : follow[2]] in (":", "=>", "="):
+                if m is not None and m.lastgroup == "op" and m.group() in (":", "=>", "="):
                     name = part.value
                 else:
                     self.item(frame, part)
@@ -255,12 +354,12 @@ class Reader:
                     before = "op"
                     continue
                 if token == "=" and frame.want is not None and (before == "name" or before == "value"):
-                    frame.parts = []  # a name with its type before the sign
+                    frame.clear()  # a name with its type before the sign
                 else:
                     self.finish(frame)
-                    frame.want = (*frame.path, *(n for _, n in (frame.indents[-LEVELS:] if not frame.opened else ())), name)[-LEVELS:]
+                    frame.want, frame.weight = name, under(frame.indents[-1][1] if frame.indents and not frame.opened else frame.path, name)
                 skip = self.bare(frame, end)
-                before = "value" if skip > end and frame.parts else "assign"
+                before = "value" if skip > end and frame.held else "assign"
             elif token == "+":
                 before = "join" if frame.want is not None else "op"
             elif token in (",", ";"):
@@ -269,13 +368,12 @@ class Reader:
             elif token in "([{":
                 deep = Frame(token, frame.path)
                 if frame.want is not None and before == "assign" and (token != "(" or not name or text[start - 1 : start] in " =:("):
-                    deep.path, deep.takes = frame.want, True
+                    deep.path, deep.takes = frame.weight, True
                 elif token == "(" and frame.want is not None and before in ("assign", "name"):
-                    called = re.search(r"[A-Za-z_]\w*$", text[max(0, start - 40) : start])
-                    gives = bool(called) and called.group().lower() in GIVERS
-                    deep.path, deep.takes = (frame.want, True) if gives else ((), False)
+                    gives = self.caller(start).lower() in GIVERS
+                    deep.path, deep.takes = (frame.weight, True) if gives else (0.0, False)
                 elif token == "(" and before in ("name", "in element"):
-                    deep.path, deep.takes = (*frame.path, name)[-LEVELS:], True
+                    deep.path, deep.takes = under(frame.path, name), True
                 elif token == "[" and before == "name" and text[start - 1 : start] not in " \t":
                     deep.base = name
                 elif token != "(":
@@ -293,9 +391,9 @@ class Reader:
             elif token == ">":
                 if before in ("open element", "in element", "str") and name and text[end - 2] != "/":
                     self.finish(frame)
-                    if before == "open element" and (m := _ELEMENT.match(text, end, min(self.high, end + 4096))) and (value := m.group().strip()):
+                    if before == "open element" and (held := _ELEMENT.match(text, end, self.high)) and (value := held.group().strip()):
                         at = text.index(value, end)
-                        self.pairs.append(((*frame.path, name), [Part(at, at + len(value), value)]))
+                        self.judge(under(frame.path, name), Part(at, at + len(value), value))
                 before, name = "op", ""
             else:
                 self.finish(frame)
@@ -306,18 +404,8 @@ class Reader:
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that sensitive names hold, directly or through earlier names."""
-    found, small = set(), text.lower()
-    if not any(w in small for w in SENSITIVE):
-        return []
-    for path, parts in Reader(text).pairs:
-        weight = path_weight(path)
-        if weight <= 0 or weight + literal_weight("".join(p.value for p in parts)) < LEAST_SCORE:
-            continue
-        own = [p for p in parts if p.here]
-        if own:
-            found.add((own[0].start, own[-1].end))
-        found.update((p.start, p.end) for p in parts if not p.here)
-    return sorted(found)
+    small = text.lower()
+    return sorted(Reader(text).found) if any(w in small for w in SENSITIVE) else []
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

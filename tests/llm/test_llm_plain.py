@@ -92,6 +92,19 @@ def test_secret_literals(text, found):
     assert sorted(text[a:b] for a, b in secrets.literals(text)) == sorted(found)
 
 
+def test_secret_constants_of_any_size():
+    """Constants of many pieces, elements and names of any length; what is no literal; names inside strings."""
+    for n in (70, 1000):
+        text = "\n".join(f'P{i} = "{A[:4]}{i}"' for i in range(n)) + "\npassword = " + " + ".join(f"P{i}" for i in range(n))
+        assert len(secrets.literals(text)) == n
+    big = "Ab1" * 333_333
+    assert secrets.literals(f"<password>{big}</password>") == [(10, 10 + len(big))]
+    assert [len(secrets.literals(t)) for t in ("password = input_password_from_user", "The secret: unbelievable!", 'password = f"{user_name}{host_name}"')] == [0, 0, 0]
+    for text in (f'h = "Authorization: Bearer {A}{A}"', f"{'n' * 60}_b64decode = 1\npassword = {'m' * 50}.b64decode('{A}')", f'K = "{A}"\n' + "K = K + K\n" * 50 + "secret = K\n"):
+        (a, b), *rest = secrets.literals(text)
+        assert text[a:b] in (A, A + A) and not rest
+
+
 def test_secret_scan_takes_linear_time():
     for unit in ("password = ", "token('", "a[b[", "/* ", "<!--", '"""', "'", "secret: {", "password\n  ", "- ", "<token>", "x+", "api=+", "secret=/*", "key '", "a=b(", "x = x + x\n", "token: "):
         start = time.process_time()
