@@ -8,7 +8,8 @@ or ``main`` element. Names (words of classes and ids) are learned likewise, from
 the pages hold rarely keeps most of its prior weight, one that they don't hold all of it.
 
 Elements that are no content by their meaning (menus, headers, footers, sidebars, forms, hidden ones) or by a name of
-weight ``LEAST_NAME`` or less are taken out of the sequence before the scan. On a page with a label, what stands outside
+weight ``LEAST_NAME`` or less are taken out of the sequence before the scan; but a name never takes out the only
+label or what holds it, or, on a page without a label, what holds most of its words. On a page with a label, what stands outside
 of every label is taken out too and the label's weight is added to the words inside.
 
 Defined results: a null or empty page, and one without words, gives the empty text; where no region scores above 0 all
@@ -58,6 +59,10 @@ PRIOR = {
     "tag": -0.3, "label": 5.0, "name": -3.0,
 }
 SHORT, LEAST_NAME = 15, -2.0
+#: An element with so many of the page's words, on a page without a label, is no part of it that a name could take out.
+MOST = 0.75
+#: So often a page is read anew because names would take out its content.
+NESTED = 8
 #: Labelled pages that are read, and the words or tags of a kind at which its prior weight and the learned one count alike.
 SAMPLE_PAGES, HALF = 5000, 1000
 
@@ -108,6 +113,7 @@ class Open:
     block: int  # place in the stack of the nearest block element
     names: tuple[str, ...] = ()
     first: int = -1  # place in the stack of the outermost element that is no content
+    doubt: tuple[int, int, int] | None = None  # of one with a name: its number, and the words and labels before it
     until: int = -1  # number of the last closing tag of those that are none
 
 
@@ -164,13 +170,18 @@ def closed_after(stream: list[tuple]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]] | None = None) -> list[Block]:
-    """The blocks in page order. ``seen`` gathers the words inside and outside of labels below each name, and the tags."""
+def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]] | None = None, spare: set[int] = frozenset(), doubts: dict[int, tuple[int, int]] | None = None) -> list[Block]:
+    """The blocks in page order. ``seen`` gathers the words inside and outside of labels below each name, and the tags.
+
+    ``doubts`` gathers the words below each element that its name takes out, by its number, and the labels; -1 stands for
+    the page and the labels outside of all of them. Names say nothing of the elements in ``spare``.
+    """
     stream = list(tags_of(page or ""))
     ends = closed_after(stream) if any(t[0] == "open" and t[1] in LABEL for t in stream) else {}
     out: list[Block] = []
     parts: list[str] = []
     now, stack, counts, below = Block(), [Open("", False, False, False, False, 0)], Counter(), [[0, 0]]
+    words_read = labels = doubted = free = 0
 
     def flush() -> None:
         nonlocal now
@@ -182,10 +193,15 @@ def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]]
         now = Block()
 
     def pop() -> Open:
+        nonlocal doubted
         top, (a, b) = stack.pop(), below.pop()
         below[-1][0] += a
         below[-1][1] += b
         counts[top.name] -= 1
+        if top.doubt and doubts is not None:
+            number, words, before = top.doubt
+            doubted -= 1
+            doubts[number] = words_read - words, labels - before
         if seen is not None:
             for n in top.names:
                 got = seen.setdefault(n, [0, 0])
@@ -200,6 +216,7 @@ def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]]
                 continue
             text = entities.unescape(value) if what == "text" else value
             n = len(text.split())
+            words_read += n
             near = stack[top.block]
             if seen is not None:
                 below[-1][0 if top.label and not top.chrome else 1] += n
@@ -242,10 +259,11 @@ def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]]
         top = stack[-1]
         found = attributes(raw) if raw and not raw.isspace() else {}
         words = tuple({w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}) if found else ()
-        out_of = name in CHROME or found.get("role", "").lower() in CHROME_ROLES
+        doubtful, out_of = False, name in CHROME or found.get("role", "").lower() in CHROME_ROLES
         if found and name not in ("html", "body"):
             out_of |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(found.get("style", "")))
-            out_of |= any(names.get(w, 0.0) <= LEAST_NAME for w in words)
+            doubtful = any(names.get(w, 0.0) <= LEAST_NAME for w in words) and i not in spare and not out_of
+            out_of |= doubtful
         if not (top.hidden or name in HIDDEN):
             now.tags += not (top.chrome or out_of)
             if seen is not None and name not in LABEL:
@@ -256,12 +274,18 @@ def blocks(page: str | None, names: dict[str, float], seen: dict[str, list[int]]
         entry = Open(name, top.hidden or name in HIDDEN, top.chrome or out_of, top.link or name == "a", is_label, len(stack) if name in BLOCK else top.block, words if seen is not None else ())
         entry.first = top.first if top.chrome else len(stack) if out_of else -1
         entry.until = max(top.until, ends.get(i, -1)) if out_of else top.until
+        entry.doubt = (i, words_read, labels) if doubtful else None
+        doubted += doubtful
+        labels += name in LABEL
+        free += name in LABEL and not doubted
         stack.append(entry)
         below.append([0, 0])
         counts[name] += 1
     flush()
     while len(stack) > 1:
         pop()
+    if doubts is not None:
+        doubts[-1] = words_read, free
     return out
 
 
@@ -287,7 +311,16 @@ PLAIN = Model(dict(PRIOR), dict.fromkeys(CHROME_NAMES, PRIOR["name"]))
 
 
 def extract_text(page: str | None, model: Model = PLAIN) -> str:
-    parts = [b for b in blocks(page, model.names) if not b.chrome]
+    spare: set[int] = set()
+    for _ in range(NESTED):
+        doubts: dict[int, tuple[int, int]] = {}
+        parts = [b for b in blocks(page, model.names, spare=spare, doubts=doubts) if not b.chrome]
+        words, free = doubts.pop(-1)
+        n, labels = max(doubts.values(), key=lambda d: (d[1] > 0, d), default=(0, 0))
+        if free or not labels and n < max(1, MOST * words):
+            break
+        # All wrappers around the same labels, or else around most words, at once.
+        spare |= {i for i, d in doubts.items() if (d[1] == labels if labels else d[0] >= MOST * words)}
     if any(b.label and b.words for b in parts):
         parts = [b for b in parts if b.label]
     first, end = best_region([b.score(model.weights) for b in parts])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
-RATIO, LEAST_COPIES = 0.08, 4
+RATIO, LEAST_COPIES = 0.08, 2  # a line on a single page is not repeated
 BROADCAST_ROWS, SALTS = 200_000, 64
 
 
@@ -44,16 +44,19 @@ def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text
     """``pages`` with the text's boilerplate lines dropped, and the columns n_lines and n_dropped (long)."""
     found = cut(boilerplate(pages, host_col, text_col, ratio, least_copies))
     n = found.count()
-    pages = pages.drop("n_lines", "n_dropped")
-    arrays = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__drop")).select(F.col("host").alias("__host"), "__drop", F.col("__drop.a").alias("__first"))
-    same = F.col("__p").eqNullSafe(F.col("__host"))
-    rows = pages.withColumn("__p", F.col(host_col).cast("string"))
+    own = [x for x in pages.columns if x not in ("n_lines", "n_dropped")]
+    rows = pages.select(F.struct(*(F.col(f"`{x}`") for x in own)).alias("row"))  # no name of the input can clash
+    text, host = F.col("row").getField(text_col).cast("string"), F.col("row").getField(host_col).cast("string")
+    rows = rows.withColumn("host", host).withColumn("lines", F.split(text, "\n"))
+    arrays = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("drop")).select(F.col("host").alias("its"), "drop", F.col("drop.a").alias("first"))
+    same = F.col("host").eqNullSafe(F.col("its"))
     if n <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(arrays), same, "left")
     else:
-        arrays = arrays.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__s", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(arrays, same & (F.col("__s") == F.col("__t")), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~(F.array_contains("__first", F.xxhash64(x)) & F.array_contains("__drop", _key(x)))))
-    rows = rows.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long"))
-    return rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn(text_col, F.array_join("__kept", "\n")).drop("__p", "__host", "__drop", "__first", "__kept", "__s", "__t")
+        arrays = arrays.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(arrays, same & (F.col("salt") == F.col("its_salt")), "left")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~(F.array_contains("first", F.xxhash64(x)) & F.array_contains("drop", _key(x)))))
+    rows = rows.select("row", "lines", kept.alias("kept"))
+    size = lambda lines: F.when(F.col("lines").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    columns = [F.array_join("kept", "\n").alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in own]
+    return rows.select(*columns, size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_dropped"))

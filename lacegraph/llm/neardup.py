@@ -221,12 +221,16 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, sketches: DataFrame, width:
     sizes = rare.groupBy("h", "component").agg(F.count("*").alias("k"))
     tops = sizes.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("m")).where("m > 1").select("h", "top")
     rare = rare.join(tops, "h").join(sketches.select("id", "whole"), "id")
-    side = lambda df, x: df.select("h", F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "place", "component", "inner", "whole")))
+    side = lambda df, x, *more: df.select("h", *more, F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "place", "component", "inner", "whole")))
     smaller = F.struct("na", "a") < F.struct("nb", "b")
     both = F.expr(f"({percent} * (na + nb) + {100 + percent} - 1) div {100 + percent}")  # the least size of the intersection
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
     fits = _sizes("na", "nb", percent) & F.when(smaller, F.col("ia")).otherwise(F.col("ib")) & (left >= both) & (_bits("wa", "wb") <= F.col("na") + F.col("nb") - 2 * both)
-    pairs = side(rare.where("component <> top"), "a").join(side(rare, "b"), "h").where((F.col("ca") != F.col("cb")) & fits)
+    # The smaller of two sets has the shingle among its inner rows. So rows that are inner on neither side must not meet: a
+    # row that isn't inner is joined with inner ones alone, an inner one with both.
+    other = F.explode(F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("to")
+    left_rows = side(rare.where("component <> top").select("*", other), "a", "to")
+    pairs = left_rows.join(side(rare.withColumn("to", F.col("inner")), "b", "to"), ["h", "to"]).where((F.col("ca") != F.col("cb")) & fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -104,7 +104,7 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
 l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t WHERE text IS NOT NULL),
 h AS (SELECT source, count(*) AS total FROM t GROUP BY source),
 c AS (SELECT source, line, count(DISTINCT r) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY source, line),
-b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages >= {linededup.LEAST_COPIES} AND pages / total > {linededup.RATIO}),
+b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages > 1 AND pages / total > {linededup.RATIO}),
 k AS (SELECT l.r, l.pos, l.line, b.line IS NOT NULL AS dropped FROM l LEFT JOIN b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source),
 g AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM k GROUP BY r)
 SELECT t.doc_id, t.source, g.text, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_dropped, 0)::BIGINT AS n_dropped FROM t LEFT JOIN g USING (r)

@@ -326,3 +326,15 @@ def test_bands_catch_similar_sets():
         x, y = (neardup.band_keys(neardup.samples(np.concatenate([both, r]))) for r in (rest[:20], rest[20:]))
         assert (x == y).any()
     assert len(Counter(neardup.band_keys(neardup.samples(both)).tolist())) == neardup.BANDS
+
+
+@pytest.mark.parametrize("words", ["post has-comments", "container has-sidebar", "layout share-enabled", "post search-result"])
+def test_names_never_take_out_the_content(words):
+    """Listed words on a label, around one or around most of a page leave it; a real sidebar, comments and notices still go."""
+    body = "".join(f"<p>{'some words of a long paragraph in the text ' * 3}{i}.</p>" for i in range(6))
+    extra = '<div class="notice"><p>We use cookies to make this page better for you.</p></div><div class="comments"><p>First reader says that this is good.</p></div>'
+    side = '<div class="sidebar"><p>Read this other page on the side too.</p></div>'
+    text = html_extract.extract_text(f"<body>{side}<article>{body}{extra}</article></body>")
+    assert text.count("\n") == 5 and "cookies" not in text and "reader" not in text and "side" not in text
+    for page in (f'<body>{side}<article class="{words}">{body}{extra}</article></body>', f'<body><div class="{words}">{side}<article>{body}{extra}</article></div></body>', f'<body><div class="{words}">{body}</div>{side}</body>'):
+        assert html_extract.extract_text(page) == text
