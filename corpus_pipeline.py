@@ -23,7 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source; n_chars follows the text. A null source is one of its
     own, and a document all of whose lines go stays with an empty text."""
-    return linededup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), "source", "text")
+    cut = linededup.drop_lines(whole)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*(new.get(x, F.col("row").getField(x)).alias(x) for x in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
