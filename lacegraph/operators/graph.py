@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import Options
 from ..functions import overlap
 from ..functions.scalar import twin
+from ..session import cut
 from .coverage import classified
 
 
@@ -51,24 +52,75 @@ def symmetrised(graph: DataFrame) -> DataFrame:
     return symmetric(first_of_parallel(graph))
 
 
+def closed_walks(graph: DataFrame) -> DataFrame:
+    """(u, w, x, l1, l2) of walks u -> w -> x whose ends an arc u -> x joins.
+
+    Each is found from that of its three vertices with the fewest arcs: of a vertex only the arcs to vertices with more
+    (or as many and a larger number) are paired, at most about the square root of twice the arcs, and the third arc is
+    looked up. So neither a hub's square nor its whole neighbourhood is ever made. Walks over loops are found apart.
+    """
+    c = F.col
+    plain, loops = graph.where("u <> v").select("u", "v", "l"), graph.where("u = v").select(c("u").alias("o"), c("l").alias("lo"))
+    size = plain.select(F.explode(F.array("u", "v")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    sized = plain.join(size.select(c("p").alias("u"), c("n").alias("nu")), "u").join(size.select(c("p").alias("v"), c("n").alias("nv")), "v")
+    first = F.struct("nu", "u") < F.struct("nv", "v")
+    low = cut(sized.select(F.when(first, c("u")).otherwise(c("v")).alias("p"), F.when(first, c("v")).otherwise(c("u")).alias("q"), first.alias("out"), "l"))
+    out, into = low.where("out").select("p", "q", "l"), low.where("not out").select("p", "q", "l")
+    other = lambda df: df.select("p", c("q").alias("r"), c("l").alias("m"))
+    arc = lambda a, b, name: plain.select(c("u").alias(a), c("v").alias(b), c("l").alias(name))
+    at_u = out.join(other(out), "p").where("q <> r").select(c("p").alias("u"), c("q").alias("w"), c("r").alias("x"), c("l").alias("l1")).join(arc("w", "x", "l2"), ["w", "x"])
+    at_w = into.join(other(out), "p").where("q <> r").select(c("q").alias("u"), c("p").alias("w"), c("r").alias("x"), c("l").alias("l1"), c("m").alias("l2")).join(arc("u", "x", "l"), ["u", "x"])
+    at_x = into.join(other(into), "p").where("q <> r").select(c("q").alias("u"), c("r").alias("w"), c("p").alias("x"), c("m").alias("l2")).join(arc("u", "w", "l1"), ["u", "w"])
+    over_w = plain.join(loops, c("v") == c("o")).select("u", c("v").alias("w"), c("v").alias("x"), c("l").alias("l1"), c("lo").alias("l2"))
+    over_u = loops.join(graph.select("u", "v", "l"), c("u") == c("o")).select("u", c("u").alias("w"), c("v").alias("x"), c("lo").alias("l1"), c("l").alias("l2"))
+    back = plain.join(arc("v", "u", "l2"), ["u", "v"]).join(loops.select(c("o").alias("u")), "u", "left_semi").select("u", c("v").alias("w"), c("u").alias("x"), c("l").alias("l1"), "l2")
+    found = at_u.select("u", "w", "x", "l1", "l2")
+    for more in (at_w, at_x, over_w, over_u, back):
+        found = found.unionByName(more.select("u", "w", "x", "l1", "l2"))
+    return found
+
+
+#: Walks of one vertex that are folded in one row; those of a vertex with more are decided in rounds.
+FOLDED_WALKS = 10_000
+
+
 def transitive(graph: DataFrame, fuzz: int) -> DataFrame:
     """(u, v) of arcs that a walk over a nearer neighbour replaces.
 
     Neighbours are taken by ascending length; one that is already reduced reduces no other. Arcs go only after all are
-    judged, so each vertex is independent: two-hop walks that end at a neighbour within the longest arc plus ``fuzz``
-    are joined, gathered for each first step, and folded in order.
+    judged, so each vertex is independent. Its walks within the longest arc plus ``fuzz`` are folded in order. Those of a
+    hub are decided by joins: a neighbour stays active if no active one before it reaches it, and all whose earlier ones
+    are decided are decided at once.
     """
     longest = graph.groupBy("u").agg((F.max("l") + fuzz).alias("most"))
-    a = graph.select("u", F.col("v").alias("w"), F.col("l").alias("l1"))
-    b = graph.select(F.col("u").alias("w"), F.col("v").alias("x"), F.col("l").alias("l2"))
-    ends = graph.select("u", F.col("v").alias("x")).distinct()
-    walks = a.join(longest, "u").join(b, "w").where("l1 + l2 <= most").select("u", "w", "l1", "x").join(ends, ["u", "x"])
-    steps = walks.groupBy("u", "w", "l1").agg(F.collect_set("x").alias("ends"))
+    walks = cut(closed_walks(graph).join(longest, "u").where("l1 + l2 <= most").select("u", "w", "l1", "x"))
+    hubs = cut(walks.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > FOLDED_WALKS).select("u"))
+    wide = not hubs.isEmpty()
+    steps = (walks.join(hubs, "u", "left_anti") if wide else walks).groupBy("u", "w", "l1").agg(F.collect_set("x").alias("ends"))
     fold = F.aggregate(
         F.sort_array(F.collect_list(F.struct("l1", "w", "ends"))), F.array().cast("array<bigint>"),
         lambda gone, s: F.when(F.array_contains(gone, s["w"]), gone).otherwise(F.array_union(gone, s["ends"])),
     )
-    return steps.groupBy("u").agg(fold.alias("gone")).select("u", F.explode("gone").alias("v"))
+    gone = steps.groupBy("u").agg(fold.alias("gone")).select("u", F.explode("gone").alias("v"))
+    return gone.unionByName(_by_rounds(walks.join(hubs, "u", "left_semi"))) if wide else gone
+
+
+def _by_rounds(walks: DataFrame) -> DataFrame:
+    """The same for walks (u, w, l1, x) of hubs, by deciding which first steps are active."""
+    c = F.col
+    steps = cut(walks.select("u", "w", "l1").distinct())
+    after = walks.join(steps.select("u", c("w").alias("x"), c("l1").alias("lx")), ["u", "x"]).where(F.struct("l1", "w") < F.struct("lx", "x"))
+    before = cut(after.select("u", "w", "l1", "x", "lx").distinct())  # (w, l1) comes before (x, lx) and reaches it
+    active, left = None, steps
+    while True:
+        free = cut(left.join(before.select("u", c("x").alias("w"), c("lx").alias("l1")), ["u", "w", "l1"], "left_anti"))
+        active = free if active is None else cut(active.unionByName(free))
+        hit = before.join(free, ["u", "w", "l1"], "left_semi").select("u", c("x").alias("w"), c("lx").alias("l1")).distinct()
+        left = cut(left.join(free, ["u", "w", "l1"], "left_anti").join(hit, ["u", "w", "l1"], "left_anti"))
+        if left.isEmpty():
+            return walks.join(active, ["u", "w", "l1"], "left_semi").select("u", c("x").alias("v")).distinct()
+        still = before.join(left, ["u", "w", "l1"], "left_semi")
+        before = cut(still.join(left.select("u", c("w").alias("x"), c("l1").alias("lx")), ["u", "x", "lx"], "left_semi"))
 
 
 def reduced(graph: DataFrame, fuzz: int) -> DataFrame:

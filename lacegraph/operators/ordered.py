@@ -98,11 +98,32 @@ def pack_blocks(reads: DataFrame, max_bases: int, key: str = "read_id", length:
 
 
 def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
-    """Run-length encoding: (partition..., run, value, n) of neighbouring equal values within each partition."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return marked.groupBy(*partition, "run", value).agg(F.count("*").alias("n"))
+    """Run-length encoding: (partition..., run, value, n) of neighbouring equal values within each partition.
+
+    Rows are sorted in ranges of (partition, order), runs are found within each range, and what a range begins with joins
+    the last run of the range before: no task sees all rows of a partition, and each range gives one row for that.
+    """
+    names = [f"__p{i}" for i in range(len(partition))]
+    keys = [*names, "__range"]
+    columns = [*(F.col(p).alias(n) for p, n in zip(partition, names)), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order)), F.col(value).alias("__v")]
+    by = [*names, *(f"__o{i}" for i in range(len(order)))]
+    ranged = cut(df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33))  # the number of the range
+    w = Window.partitionBy(*keys).orderBy("__at")
+    new = F.when(F.col("__v").eqNullSafe(F.lag("__v").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    own = ranged.withColumn("__new", new).withColumn("__r", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    pieces = cut(own.groupBy(*keys, "__r", "__v").agg(F.count("*").alias("__n")))
+    borders = pieces.groupBy(*keys).agg(F.min_by("__v", "__r").alias("__first"), F.max_by("__v", "__r").alias("__last"), F.max("__r").alias("__k"))
+    along = Window.partitionBy(*names).orderBy("__range")
+    joins = (F.lag("__k").over(along).isNotNull() & F.col("__first").eqNullSafe(F.lag("__last").over(along))).cast("long")
+    borders = borders.withColumn("__joins", joins)
+    before = F.coalesce(F.sum(F.col("__k") - F.col("__joins")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__joins")
+    borders = borders.select(*(F.col(k).alias(f"{k}_") for k in keys), before.alias("__before"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    found = pieces.join(borders, same).withColumn("run", F.col("__before") + F.col("__r"))
+    return found.groupBy(*names, "run", "__v").agg(F.sum("__n").alias("n")).select(*(F.col(n).alias(p) for n, p in zip(names, partition)), "run", F.col("__v").alias(value), "n")
 
 
 def offset_join(points: DataFrame, reads: DataFrame, bin_size: int = 1 << 16) -> DataFrame:

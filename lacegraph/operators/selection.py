@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+#: Rows among which the place is sought in one histogram, and the accuracy with which it is bracketed before.
+FEW_ROWS, ACCURACY = 100_000, 10_000
+
+
 def kth_smallest(df: DataFrame, column: str, place: int) -> DataFrame:
-    """One row, value: the exact element at a 0-based place in ascending order, from a histogram of the values.
+    """One row, value: the exact element at a 0-based place in ascending order.
 
-    The histogram is cut to the value ranges (4096 at most) that can hold the place before it is summed in order.
+    The place is bracketed between two approximate quantiles, what lies below is counted exactly, and so again within the
+    bracket until few rows or a single value are left. Quantiles follow the ranks, so far values cost no round.
     """
-    histogram = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    ends = histogram.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
-    if ends.low is None:
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    size, before = rows.count(), 0
+    if not size:
         return df.select(F.col(column).alias("value")).limit(0)
-    width = max((ends.high - ends.low) / 4096, 1e-12)
-    cell = F.floor((F.col("v") - F.lit(ends.low)) / F.lit(width)).cast("long")
-    cells = histogram.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
-    running = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # at most 4097 rows
-    chosen = cells.withColumn("through", running).where(F.col("through") > place).orderBy("cell").limit(1).select("cell", (F.col("through") - F.col("n")).alias("before"))
-    inside = histogram.withColumn("cell", cell).join(F.broadcast(chosen), "cell")
-    through = F.sum("n").over(Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("through", F.col("before") + through).where(F.col("through") > place).agg(F.min("v").alias("value"))
+    while size > FEW_ROWS:
+        at = (place - before) / size
+        low, high = rows.agg(F.percentile_approx("v", [min(1.0, max(0.0, at - 2 / ACCURACY)), min(1.0, at + 2 / ACCURACY)], ACCURACY)).first()[0]
+        below, within = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not before + below <= place < before + below + within or within == size:
+            break
+        rows, before, size = rows.where(F.col("v").between(low, high)), before + below, within
+        if low == high:
+            break
+    through = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # of the values in the bracket
+    counted = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn("through", F.lit(before) + through)
+    return counted.where(F.col("through") > place).agg(F.min("v").alias("value"))
 
 
 def shuffled_order(df: DataFrame, key: str, seed: int = 11) -> DataFrame:
