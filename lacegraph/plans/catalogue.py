@@ -261,11 +261,14 @@ def simplified_graph(spark, d):
 
 
 def _windows(spark, d):
-    """Overlapping reads of 800 letters, every 200, of each document; the last one ends with it."""
-    docs = _reads(spark, d).where("len >= 800")
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("len") - 800, F.lit(200)), F.array(F.col("len") - 800)))
-    rows = docs.select("read_id", "seq", F.posexplode(starts).alias("i", "at"))
-    return rows.select((F.col("read_id") * 4096 + F.col("i")).alias("read_id"), F.expr("substring(seq, at + 1, 800)").alias("seq"))
+    """Overlapping reads of 800 letters, every 200, of each document; the last one ends with it, and a shorter document is
+    one read. Reads are numbered through all documents."""
+    docs = _reads(spark, d).where("len > 0")
+    last = F.greatest(F.col("len") - 800, F.lit(0))
+    docs = docs.select("read_id", "seq", F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(200)), F.array(last))).alias("starts"))
+    numbers = ordered.prefix_sum(docs.select("read_id", F.size("starts").cast("long").alias("n")), "read_id", "n", "first").select("read_id", "first")
+    rows = docs.join(numbers, "read_id").select("first", "seq", F.posexplode("starts").alias("i", "at"))
+    return rows.select((F.col("first") + F.col("i")).alias("read_id"), F.expr("substring(seq, at + 1, 800)").alias("seq"))
 
 
 def assembly_lines(spark, d):

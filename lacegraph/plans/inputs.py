@@ -15,11 +15,14 @@ from ..functions.scalar import PROSE_FROM, PROSE_TO
 _FROM = PROSE_FROM.replace("\n", "")
 READS = f"SELECT doc_id AS read_id, translate(lower(text), concat('{_FROM}', chr(10)), '{PROSE_TO}') AS seq, CAST(length(text) AS INT) AS len FROM {{documents}} WHERE text IS NOT NULL"
 
-LENGTHS = "SELECT DISTINCT l_partkey % 997 AS read_id, CAST(12000 + (l_partkey % 997) * 7 % 1500 AS INT) AS len FROM {lineitem} UNION SELECT DISTINCT l_orderkey % 997 AS read_id, CAST(12000 + (l_orderkey % 997) * 7 % 1500 AS INT) AS len FROM {lineitem}"
+#: Reads of hits come in blocks of 997, a new one for each 60,000 order keys, so that their number grows with the table.
+_BLOCK = "997 * CAST(floor(l_orderkey / 60000) AS BIGINT)"
+_Q, _T = f"l_orderkey % 997 + {_BLOCK}", f"l_partkey % 997 + {_BLOCK}"
+LENGTHS = f"SELECT DISTINCT {_T} AS read_id, CAST(12000 + (l_partkey % 997) * 7 % 1500 AS INT) AS len FROM {{lineitem}} UNION SELECT DISTINCT {_Q} AS read_id, CAST(12000 + (l_orderkey % 997) * 7 % 1500 AS INT) AS len FROM {{lineitem}}"
 
-_RAW = """SELECT l_orderkey % 997 AS qid, l_partkey % 997 AS tid, CASE WHEN l_linenumber % 4 = 2 AND l_partkey % 997 % 3 > 0 THEN 0 WHEN l_orderkey % 997 = l_partkey % 997 THEN 1 ELSE l_linenumber % 4 END AS k, 2000 + (l_orderkey * 13 + l_linenumber * 7) % 5000 AS span,
+_RAW = f"""SELECT {_Q} AS qid, {_T} AS tid, CASE WHEN l_linenumber % 4 = 2 AND l_partkey % 997 % 3 > 0 THEN 0 WHEN l_orderkey % 997 = l_partkey % 997 THEN 1 ELSE l_linenumber % 4 END AS k, 2000 + (l_orderkey * 13 + l_linenumber * 7) % 5000 AS span,
 12000 + (l_orderkey % 997) * 7 % 1500 AS ql, 12000 + (l_partkey % 997) * 7 % 1500 AS tl, (l_orderkey * 3 + l_suppkey) % 1200 AS a, (l_partkey * 5 + l_linenumber) % 900 AS b,
-(l_suppkey * 37 + l_linenumber * 911 + l_orderkey) % 5000 AS x, (l_partkey * 53 + l_orderkey) % 5000 AS y, l_linenumber AS n FROM {lineitem}"""
+(l_suppkey * 37 + l_linenumber * 911 + l_orderkey) % 5000 AS x, (l_partkey * 53 + l_orderkey) % 5000 AS y, l_linenumber AS n FROM {{lineitem}}"""
 #: Dovetails on one strand and on opposite ones, containments and inner matches, with overhangs of up to 1200. Only reads
 #: divisible by 3 are contained, so that others survive at every scale; hits of a read with itself are reverse dovetails,
 #: some of them palindromic.
@@ -29,10 +32,11 @@ CAST(CASE WHEN k = 1 AND qid = tid AND n % 2 = 0 THEN ql - span - a WHEN k = 0 T
 CAST(CASE WHEN k = 1 AND qid = tid AND n % 2 = 0 THEN ql - a WHEN k = 0 THEN b + span WHEN k = 1 THEN tl - b WHEN k = 2 THEN tl - a % 100 ELSE y + span END AS INT) AS te,
 k = 1 OR (k = 3 AND x % 2 = 0) AS rev, CAST(floor(span * (1 + n) / 40.0) AS INT) AS ml, CAST(span AS INT) AS bl FROM ({_RAW}) raw"""
 
-SUBS = "SELECT read_id, CAST((read_id * 11) % 1500 AS INT) AS s, CAST(12000 - (read_id * 17) % 2500 AS INT) AS e, read_id % 41 = 0 AS del FROM (SELECT DISTINCT l_partkey % 997 AS read_id FROM {lineitem} UNION SELECT DISTINCT l_orderkey % 997 AS read_id FROM {lineitem}) ids"
-INNER_SUBS = "SELECT read_id, CAST((read_id * 3) % 400 AS INT) AS s, CAST(8000 - (read_id * 5) % 700 AS INT) AS e, false AS del FROM (SELECT DISTINCT l_partkey % 997 AS read_id FROM {lineitem}) ids WHERE read_id % 5 <> 0"
+SUBS = f"SELECT read_id, CAST((read_id * 11) % 1500 AS INT) AS s, CAST(12000 - (read_id * 17) % 2500 AS INT) AS e, read_id % 41 = 0 AS del FROM (SELECT DISTINCT {_T} AS read_id FROM {{lineitem}} UNION SELECT DISTINCT {_Q} AS read_id FROM {{lineitem}}) ids"
+INNER_SUBS = f"SELECT read_id, CAST((read_id * 3) % 400 AS INT) AS s, CAST(8000 - (read_id * 5) % 700 AS INT) AS e, false AS del FROM (SELECT DISTINCT {_T} AS read_id FROM {{lineitem}}) ids WHERE read_id % 5 <> 0"
 
-SEEDS = """SELECT l_orderkey % 7 AS qid, l_partkey % 5 AS tid, (l_partkey + l_linenumber) % 2 = 0 AS rev, (l_suppkey * 97 + l_partkey * 31 + l_orderkey * 7) % 20000 AS diag,
+#: A query read for each 700 order keys, so that pairs of reads grow with the table.
+SEEDS = """SELECT CAST(floor(l_orderkey / 700) AS BIGINT) AS qid, l_partkey % 5 AS tid, (l_partkey + l_linenumber) % 2 = 0 AS rev, (l_suppkey * 97 + l_partkey * 31 + l_orderkey * 7) % 20000 AS diag,
 CAST((l_orderkey * 5 + l_linenumber) % 4000 AS INT) AS j, CAST((l_orderkey * 5 + l_linenumber) % 4000 * 3 AS INT) AS qpos, CAST((l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 12000 AS INT) AS rpos FROM {lineitem}"""
 
 _TWIN = "{0} + 1 - 2 * ({0} % 2)"
