@@ -60,7 +60,8 @@ def closed_walks(graph: DataFrame) -> DataFrame:
     looked up. So neither a hub's square nor its whole neighbourhood is ever made. Walks over loops are found apart.
     """
     c = F.col
-    plain, loops = graph.where("u <> v").select("u", "v", "l"), graph.where("u = v").select(c("u").alias("o"), c("l").alias("lo"))
+    graph = cut(graph.select("u", "v", "l"))  # read for each role of a vertex
+    plain, loops = graph.where("u <> v"), graph.where("u = v").select(c("u").alias("o"), c("l").alias("lo"))
     size = plain.select(F.explode(F.array("u", "v")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
     sized = plain.join(size.select(c("p").alias("u"), c("n").alias("nu")), "u").join(size.select(c("p").alias("v"), c("n").alias("nv")), "v")
     first = F.struct("nu", "u") < F.struct("nv", "v")
@@ -71,12 +72,19 @@ def closed_walks(graph: DataFrame) -> DataFrame:
     at_u = out.join(other(out), "p").where("q <> r").select(c("p").alias("u"), c("q").alias("w"), c("r").alias("x"), c("l").alias("l1")).join(arc("w", "x", "l2"), ["w", "x"])
     at_w = into.join(other(out), "p").where("q <> r").select(c("q").alias("u"), c("p").alias("w"), c("r").alias("x"), c("l").alias("l1"), c("m").alias("l2")).join(arc("u", "x", "l"), ["u", "x"])
     at_x = into.join(other(into), "p").where("q <> r").select(c("q").alias("u"), c("r").alias("w"), c("p").alias("x"), c("m").alias("l2")).join(arc("u", "w", "l1"), ["u", "w"])
+    rows = [at_u, at_w, at_x]
+    if loops.isEmpty():
+        return _all(rows)
     over_w = plain.join(loops, c("v") == c("o")).select("u", c("v").alias("w"), c("v").alias("x"), c("l").alias("l1"), c("lo").alias("l2"))
     over_u = loops.join(graph.select("u", "v", "l"), c("u") == c("o")).select("u", c("u").alias("w"), c("v").alias("x"), c("lo").alias("l1"), c("l").alias("l2"))
     back = plain.join(arc("v", "u", "l2"), ["u", "v"]).join(loops.select(c("o").alias("u")), "u", "left_semi").select("u", c("v").alias("w"), c("u").alias("x"), c("l").alias("l1"), "l2")
-    found = at_u.select("u", "w", "x", "l1", "l2")
-    for more in (at_w, at_x, over_w, over_u, back):
-        found = found.unionByName(more.select("u", "w", "x", "l1", "l2"))
+    return _all([*rows, over_w, over_u, back])
+
+
+def _all(walks: list[DataFrame]) -> DataFrame:
+    found, *rest = (w.select("u", "w", "x", "l1", "l2") for w in walks)
+    for more in rest:
+        found = found.unionByName(more)
     return found
 
 
