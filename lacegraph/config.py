@@ -20,6 +20,8 @@ class Options:
     min_count: int = 4
     min_chain: int = 40
     bidirectional: bool = True
+    # seeds of a pair of reads, or of a cluster, up to which one task works it
+    task_seeds: int = 1_000_000
     # hits
     min_span: int = 2000
     min_match: int = 100

@@ -118,11 +118,11 @@ def seed_diagonal(spark, d):
 
 
 def seed_clusters(spark, d):
-    return chain.clusters(load(spark, d, SEEDS)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos", "cluster")
+    return chain.seed_clusters(load(spark, d, SEEDS)).select("qid", "tid", "rev", "diag", "j", "qpos", "rpos", "cluster")
 
 
 def lis_chain(spark, d):
-    return chain.regions(chain.clusters(load(spark, d, SEEDS)))
+    return chain.seed_regions(load(spark, d, SEEDS))
 
 
 def chain_gap_split(spark, d):
