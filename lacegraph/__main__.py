@@ -26,7 +26,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--threads", type=int, help="local threads; on a cluster its manager decides")
     p.add_argument("--tempdir", dest="work_dir", help="shared folder for tables between steps")
     p.add_argument("--block-nbase", dest="block_bases", type=size_in_bytes)
-    for name, kind in (("min_span", int), ("min_match", int), ("min_depth", int), ("min_identity", float), ("max_hang", int), ("min_overlap", int), ("int_fraction", float), ("gap_fuzz", int), ("rounds", int), ("bubble_distance", int), ("max_extension", int), ("radius", int), ("max_gap", int), ("min_count", int), ("min_chain", int), ("occ_fraction", float), ("occ_cap", int)):
+    p.add_argument("--strict", action="store_true", default=None, help="edge rules of the sketch by a scan with a pending minimum")
+    for name, kind in (("min_span", int), ("min_match", int), ("min_depth", int), ("min_identity", float), ("max_hang", int), ("min_overlap", int), ("int_fraction", float), ("gap_fuzz", int), ("rounds", int), ("bubble_distance", int), ("max_extension", int), ("radius", int), ("max_gap", int), ("min_count", int), ("min_chain", int), ("occ_fraction", float), ("occ_cap", int), ("task_seeds", int)):
         p.add_argument(f"--{name.replace('_', '-')}", dest=name, type=kind)
     return p
 

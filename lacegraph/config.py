@@ -10,6 +10,8 @@ class Options:
     # fingerprint extraction
     k: int = 15
     w: int = 5
+    # edges of reads and of runs of letters by a scan with a pending minimum instead of by full windows
+    strict: bool = False
     # frequency cap of the self-join
     occ_fraction: float = 0.001
     occ_limit: int = 65535

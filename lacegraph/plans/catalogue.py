@@ -27,6 +27,10 @@ def _minis(spark: SparkSession, d: str) -> DataFrame:
     return sketch.minimizers(_reads(spark, d))
 
 
+def minimizers_strict(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.minimizers(_reads(spark, d), Options(strict=True))
+
+
 def _sketched(spark: SparkSession, d: str) -> DataFrame:
     """The ranked sketch, made once: the join reads it three times."""
     return cut(sketch.minimizers(_reads(spark, d), ranked=True))
@@ -331,7 +335,7 @@ def graph_components(spark, d):
 tip_cut, bubble_pop, internal_cut, biloop_cut = _pass(("tip", 4)), _pass(("bubble", 50000)), _pass(("internal", 1)), _pass(("biloop", 4))
 
 NAMES = (
-    "shared_minimizers", "fasta_reads", "read_prefix_offsets", "block_packing", "nt4_encode", "kmer_canonical", "hash64_mix", "hash32_mix", "pack_unpack", "minimizers", "index_postings",
+    "shared_minimizers", "fasta_reads", "read_prefix_offsets", "block_packing", "nt4_encode", "kmer_canonical", "hash64_mix", "hash32_mix", "pack_unpack", "minimizers", "minimizers_strict", "index_postings",
     "index_key_stats", "occ_quantile", "offset_asof_join", "seed_join", "seed_diagonal", "seed_clusters", "lis_chain", "chain_gap_split", "interval_union_len", "hits_filtered", "hits_mirrored",
     "all_hits", "depth_regions", "depth_regions_clipped", "mean_depth", "hit_cut", "sub_merge", "hit_filter_relaxed", "overlap_class", "contained_reads", "used_reads", "survivor_renumber",
     "string_graph_arcs", "arc_multi_dedupe", "arc_symmetric", "transitive_reduction", "reduced_graph", "short_overlap_drop", "vertex_end_type", "tip_cut", "bubble_pop", "internal_cut",

@@ -118,6 +118,20 @@ UNION ALL SELECT concat_ws(chr(9), 'L', a.name, {_SIGN('link.u')}, b.name, {_SIG
 UNION ALL SELECT CASE WHEN circ THEN concat_ws(chr(9), 'x', name, len, len(path)) ELSE concat_ws(chr(9), 'x', name, len, len(path), coalesce(r.n, 0), coalesce(f.n, 0), printf('Read-%06d:1-12000', start // 2), {_SIGN('start')}, printf('Read-%06d:1-12000', stop // 2), {_SIGN('stop')}) END FROM name LEFT JOIN deg2 r ON r.u = utg_id::BIGINT * 2 + 1 LEFT JOIN deg2 f ON f.u = utg_id::BIGINT * 2"""
 
 
+def _strict() -> str:
+    """The strict sketch after the CTEs of ``_minimizers``; K is odd, so every base is a slot. ``c`` orders slots by value, then from the right."""
+    empty, shift = 4**K, 1 << 32
+    return f"""slots AS (SELECT read_id, p, strand, coalesce(x, {empty}) AS v, p - coalesce(max(CASE WHEN code > 3 THEN p END) OVER (PARTITION BY read_id ORDER BY p), -1) AS run FROM codes LEFT JOIN h7 USING (read_id, p)),
+least_of AS (SELECT *, min((v + 1) * {shift} - p) OVER (PARTITION BY read_id ORDER BY p ROWS {W - 1} PRECEDING) AS c FROM slots),
+pending AS (SELECT *, ({shift} - c % {shift}) % {shift} AS m, (c + {shift} - 1) // {shift} - 1 AS mv FROM least_of),
+moved AS (SELECT *, lag(m) OVER r AS om, lag(mv) OVER r AS omv, lead(p) OVER r IS NULL AS ends FROM pending WINDOW r AS (PARTITION BY read_id ORDER BY p)),
+ties AS (SELECT read_id, unnest(range(p - {W - 1}, p + 1)) AS t, mv AS tv, m AS own FROM moved WHERE m <> om AND om = p - {W} AND v > omv AND run >= {W + K - 1}
+UNION ALL SELECT read_id, unnest(range(p - {W - 1}, p)), omv, om FROM moved WHERE run = {W + K - 1}),
+written AS (SELECT read_id, om AS p FROM moved WHERE m <> om AND run >= {W + K} UNION ALL SELECT read_id, m FROM moved WHERE ends AND mv < {empty}
+UNION ALL SELECT y.read_id, t FROM ties y JOIN slots s ON s.read_id = y.read_id AND s.p = t AND s.v = tv WHERE t <> own)
+SELECT read_id, p::INT AS pos, strand::INT AS strand, v::BIGINT AS hash FROM written JOIN slots USING (read_id, p)"""
+
+
 def sql() -> dict[str, str]:
     m = f"WITH {_minimizers()}"
     strict = _class(HITS, LENGTHS, 1000, 0.8, 2000)
@@ -143,6 +157,7 @@ e AS (SELECT x0, xor(x, x >> 14) AS x FROM d), f AS (SELECT x0, (x * 21) & 10737
         "hash32_mix": f"SELECT x, {_h32('x')} AS h FROM (SELECT DISTINCT l_orderkey AS x FROM lineitem)",
         "pack_unpack": "SELECT DISTINCT l_orderkey AS high, l_partkey AS low, l_orderkey * 4294967296 + l_partkey AS packed, l_orderkey AS high_again, l_partkey AS low_again FROM lineitem",
         "minimizers": f"{m} SELECT read_id, pos, strand, hash FROM minis",
+        "minimizers_strict": f"{m}, {_strict()}",
         "index_postings": f"{m} SELECT hash, count(*) AS occ, min(read_id) AS first_read, max(read_id) AS last_read, count(*) AS n_places FROM minis GROUP BY hash",
         "index_key_stats": f"{m}, occ AS (SELECT count(*) AS c FROM minis GROUP BY hash) SELECT count(*) AS n_keys, count(*) FILTER (WHERE c = 1) AS n_single, coalesce(sum(c) FILTER (WHERE c > 1), 0)::BIGINT AS n_multi_values FROM occ",
         "occ_quantile": f"{m}, {_CAP} SELECT max_occ FROM cap",
