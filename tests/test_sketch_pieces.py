@@ -1,0 +1,69 @@
+"""Sketches of many reads in one go are those of each read."""
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from lacegraph.operators import sketch
+
+
+def reads(seed, n=60):
+    rnd = random.Random(seed)
+    letters = lambda: "".join(rnd.choice("acgtACGUnN." if rnd.random() < 0.1 else "acgt") for _ in range(rnd.choice([0, 1, 4, 5, 8, 9, 30, 200])))
+    return [letters() if rnd.random() < 0.8 else rnd.choice("ac") * rnd.randrange(40) for _ in range(n)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 6, 15])
+def test_numbers_are_spelled_as_one_by_one(k):
+    rnd = random.Random(k)
+    codes = sketch.joined(["".join(rnd.choice("acgt") for _ in range(50))], 0)[0]
+    forward, backward = sketch.both_strands(codes, k)
+    for i in range(len(codes) - k + 1):
+        part = codes[i : i + k].tolist()
+        assert forward[i] == int("".join(map(str, part)), 4) and backward[i] == int("".join(str(3 - c) for c in part[::-1]), 4)
+    assert len(forward) == len(backward) == len(codes) - k + 1
+
+
+@pytest.mark.parametrize("k,w", [(5, 4), (6, 3), (4, 5), (15, 5)])
+def test_strict_of_many_reads(k, w):
+    for seed in range(20):
+        seqs = reads(seed)
+        codes, starts = sketch.joined(seqs, w)
+        got = list(zip(*(x.tolist() for x in sketch.strict_of(codes, starts, k, w))))
+        assert got == [(a + p, v, s) for seq, a in zip(seqs, starts.tolist()) for p, v, s in zip(*(x.tolist() for x in sketch.strict_minimizers(seq, k, w)))]
+
+
+def test_pieces_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(sketch, "PIECE", 300)
+    seqs = reads(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(seqs))), pa.array(seqs)], names=["id", "seq"])
+    pieces = list(sketch._pieces([batch], 4))
+    assert sum((ids.to_pylist() for ids, _, _ in pieces), []) == list(range(len(seqs)))
+    assert all(len(codes) <= 300 + 300 for _, codes, _ in pieces) and len(pieces) > 5
+
+
+def test_kmers_of_all_places(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "PIECE", 300)
+    seqs = reads(4) + [None]
+    got = sketch.canonical_kmers(spark.createDataFrame([(None if i == 7 else i, s) for i, s in enumerate(seqs)], "read_id long, seq string"), 5)
+    number = lambda codes: int("".join(map(str, codes)), 4)
+    expected = []
+    for i, s in enumerate(seqs):
+        codes = ["acgt".find(c.replace("u", "t")) for c in (s or "").lower()]
+        for at in range(len(codes) - 4):
+            part = codes[at : at + 5]
+            if -1 not in part:
+                f, r = number(part), number([3 - c for c in part[::-1]])
+                expected.append((None if i == 7 else i, f, r, min(f, r), int(f > r)))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted((e for e in expected if e[1] != e[2]), key=key)
+
+
+def test_kmers_call_no_expression_a_place(spark, tmp_path):
+    """One Arrow pass: the plan evaluates no k-mer by nested higher-order functions."""
+    from lacegraph.plans import catalogue
+
+    spark.createDataFrame([(1, "acgtacgtacgtacgtacgg")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.kmer_canonical(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
