@@ -1,0 +1,12 @@
+"""Queries that read their arcs several times make them once."""
+
+from pyspark.sql import functions as F
+
+
+def test_arcs_are_made_once(spark, tmp_path):
+    from lacegraph.plans import catalogue
+
+    spark.range(300).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    for frame in (catalogue._arcs(spark, str(tmp_path)), catalogue._unitigs(spark, str(tmp_path))[0]):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "orders" not in plan and "FileScan" not in plan and frame.count() > 500
