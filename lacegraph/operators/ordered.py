@@ -97,6 +97,10 @@ def pack_blocks(reads: DataFrame, max_bases: int, key: str = "read_id", length:
     return firsts.join(following, "block_id", "left").select(F.col("block_id").cast("int").alias("block_id"), F.col("id").alias("first_read"), (F.coalesce("until", F.lit(size.n)) - F.col("i")).cast("int").alias("n_reads"))
 
 
+#: Rows that a range of ``runs`` holds, at least as soon as there are more ranges than Spark would make.
+RANGE_ROWS = 250_000
+
+
 def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
     """Run-length encoding: (partition..., run, value, n) of neighbouring equal values within each partition.
 
@@ -107,8 +111,9 @@ def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> D
     keys = [*names, "__range"]
     columns = [*(F.col(p).alias(n) for p, n in zip(partition, names)), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order)), F.col(value).alias("__v")]
     by = [*names, *(f"__o{i}" for i in range(len(order)))]
-    ranged = cut(df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("__range", F.shiftright("__at", 33))  # the number of the range
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))  # so a task's rows don't grow with the input
+    ranged = cut(df.select(*columns).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33)).repartition(parts, *keys)  # the number of the range
     w = Window.partitionBy(*keys).orderBy("__at")
     new = F.when(F.col("__v").eqNullSafe(F.lag("__v").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     own = ranged.withColumn("__new", new).withColumn("__r", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))

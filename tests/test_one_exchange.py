@@ -26,3 +26,17 @@ def test_only_pairs_with_a_large_cluster_are_worked_again(spark, monkeypatch):
     seen, real = [], chain.wide_chains.clusters
     monkeypatch.setattr(chain.wide_chains, "clusters", lambda many, *a: seen.append({r.tid for r in many.collect()}) or real(many, *a))
     assert sorted(map(tuple, chain.seed_regions(found, Options(task_seeds=20)).collect())) == whole and seen == [{2}]
+
+
+def test_runs_take_more_ranges_for_more_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lacegraph.operators import ordered
+
+    df = spark.range(900).select((F.col("id") % 3).alias("p"), F.col("id").alias("o"), F.floor(F.col("id") / 21).alias("v"))
+    one = lambda: sorted(map(tuple, ordered.runs(df, ["p"], ["o"], "v").collect()))
+    seen, real = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *c: seen.append(n) or real(self, n, *c))
+    whole = one()
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    assert one() == whole and seen[1] == 18 > seen[0] and len(whole) == 3 * 43
