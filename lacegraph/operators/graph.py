@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Options
 from ..functions import overlap
@@ -148,17 +148,39 @@ def without_short(graph: DataFrame, ratio: float) -> DataFrame:
     return symmetrised(graph.join(short_overlaps(graph, ratio), ["u", "v"], "left_anti"))
 
 
+#: How a walk goes on from a vertex, by number.
+END_TYPES = ["TIP", "MULTI_OUT", "MULTI_NEI", "MERGEABLE"]
+
+
+def _end_kinds(graph: DataFrame) -> DataFrame:
+    """(vertex, degree, next, kind), the kind as a place in ``END_TYPES``.
+
+    Arcs are shuffled once, by read: a read's row holds degree and least next vertex of both its vertices. So one lookup of
+    the next vertex's read tells whether that has several arcs back.
+    """
+    c = F.col
+    ends = graph.select(F.explode(F.array(F.struct(c("u").alias("x"), c("v").alias("next")), F.struct(c("v").alias("x"), F.lit(None).cast("long").alias("next")))).alias("e")).select("e.x", "e.next")
+    sides = [F.when(c("x").bitwiseAND(F.lit(1)) == side, c("next")) for side in (0, 1)]
+    reads = ends.groupBy(F.shiftright("x", 1).alias("read")).agg(*(f(s).alias(f"{n}{i}") for i, s in enumerate(sides) for n, f in (("d", F.count), ("n", F.min))))
+    both = reads.select(F.explode(F.array(*(F.struct((c("read") * 2 + i).alias("vertex"), c(f"d{i}").alias("degree"), c(f"n{i}").alias("next")) for i in (0, 1)))).alias("e")).select("e.*")
+    # A vertex without a single next one looks itself up, so that no task gets all of these.
+    both = both.withColumn("__at", F.when(c("degree") == 1, F.shiftright("next", 1)).otherwise(F.shiftright("vertex", 1)))
+    rows = both.join(reads.select(c("read").alias("__at"), "d0", "d1"), "__at")
+    back = F.when(c("next").bitwiseAND(F.lit(1)) == 0, c("d1")).otherwise(c("d0"))
+    kind = F.when(c("degree") == 0, 0).when(c("degree") > 1, 1).when(back > 1, 2).otherwise(3)
+    return rows.select("vertex", "degree", "next", kind.cast("byte").alias("kind"))
+
+
+def _end_type(kind: Column) -> Column:
+    return F.get(F.array(*map(F.lit, END_TYPES)), kind.cast("int"))
+
+
 def end_types(graph: DataFrame) -> DataFrame:
     """(vertex, degree, type): how a walk goes on from each vertex.
 
     TIP without an arc, MULTI_OUT with several, MULTI_NEI when the only next vertex has several arcs back, else MERGEABLE.
     """
-    vertices = graph.select(F.explode(F.array("u", "v", twin(F.col("u")), twin(F.col("v")))).alias("vertex")).distinct()
-    out = graph.groupBy(F.col("u").alias("vertex")).agg(F.count("*").alias("degree"), F.min("v").alias("next"))
-    back = out.select(twin(F.col("vertex")).alias("next"), F.col("degree").alias("back"))
-    rows = vertices.join(out, "vertex", "left").join(back, "next", "left")
-    kind = F.when(F.col("degree").isNull(), "TIP").when(F.col("degree") > 1, "MULTI_OUT").when(F.col("back") > 1, "MULTI_NEI").otherwise("MERGEABLE")
-    return rows.select("vertex", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), kind.alias("type"))
+    return _end_kinds(graph).select("vertex", "degree", _end_type(F.col("kind")).alias("type"))
 
 
 def degrees(graph: DataFrame) -> DataFrame:
@@ -167,15 +189,16 @@ def degrees(graph: DataFrame) -> DataFrame:
 
 
 def walks(graph: DataFrame, most: int) -> DataFrame:
-    """(vertex, last, steps, type): the walk of up to ``most`` mergeable steps from each vertex, and how it ends."""
-    kinds = end_types(graph)
-    ways = graph.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("next"))
-    kinds = kinds.join(ways, "vertex", "left").select(F.col("vertex").alias("last"), "type", F.when(F.col("type") == "MERGEABLE", F.col("next")).alias("next"))
-    kinds = cut(kinds)  # read for each step
-    at = kinds.select(F.col("last").alias("vertex"), "last", F.lit(0).cast("long").alias("steps"), "type", "next")
+    """(vertex, last, steps, type): the walk of up to ``most`` mergeable steps from each vertex, and how it ends.
+
+    A walk that has ended looks up its own start in a later step, so that no task gets all of these. Reads ``graph`` once.
+    """
+    c = F.col
+    kinds = cut(_end_kinds(graph).select("vertex", "kind", F.when(c("kind") == 3, c("next")).alias("next")))  # read for each step
+    at = kinds.select("vertex", c("vertex").alias("last"), F.lit(0).cast("long").alias("steps"), "kind", "next")
+    here = kinds.select(c("vertex").alias("__x"), c("kind").alias("__kind"), c("next").alias("__next"))
     for _ in range(most):
-        here = kinds.select(F.col("last").alias("__x"), F.col("type").alias("__type"), F.col("next").alias("__next"))
-        moved = at.join(here, F.col("next") == F.col("__x"), "left")
-        on = F.col("__x").isNotNull()
-        at = moved.select("vertex", F.when(on, F.col("__x")).otherwise(F.col("last")).alias("last"), (F.col("steps") + on.cast("long")).alias("steps"), F.when(on, F.col("__type")).otherwise(F.col("type")).alias("type"), F.when(on, F.col("__next")).alias("next"))
-    return at.drop("next")
+        moved = at.join(here, F.coalesce("next", "vertex") == c("__x"))
+        on = c("next").isNotNull()
+        at = moved.select("vertex", F.when(on, c("__x")).otherwise(c("last")).alias("last"), (c("steps") + on.cast("long")).alias("steps"), F.when(on, c("__kind")).otherwise(c("kind")).alias("kind"), F.when(on, c("__next")).alias("next"))
+    return at.select("vertex", "last", "steps", _end_type(c("kind")).alias("type"))

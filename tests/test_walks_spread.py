@@ -1,0 +1,35 @@
+"""Walks by joins: against plain walks, and without rows of ended walks that meet under one null key."""
+
+import random
+
+from lacegraph.operators import graph as G
+
+
+def test_walks_of_random_graphs(spark):
+    r = random.Random(3)
+    arcs = {(r.randrange(120), r.randrange(120)) for _ in range(60)}
+    arcs |= {(b ^ 1, a ^ 1) for a, b in sorted(arcs)[:40]} | {(200 + 2 * i, 202 + 2 * i) for i in range(9)} | {(203 + 2 * i, 201 + 2 * i) for i in range(9)}
+    rows = [(a, b, 10, 5) for a, b in sorted(arcs)]
+    df = spark.createDataFrame(rows, "u long, v long, l int, ol int")
+    after = {}
+    for a, b in sorted(arcs):
+        after.setdefault(a, []).append(b)
+    size = lambda x: len(after.get(x, ()))
+    kind = lambda x: "TIP" if not size(x) else "MULTI_OUT" if size(x) > 1 else "MULTI_NEI" if size(after[x][0] ^ 1) > 1 else "MERGEABLE"
+    vertices = {x ^ side for arc in arcs for x in arc for side in (0, 1)}
+    found = G.end_types(df).collect()
+    assert len(found) == len(vertices) and {x.vertex: (x.degree, x.type) for x in found} == {x: (size(x), kind(x)) for x in vertices}
+    for most in (0, 1, 4):
+        paths = {x: [x] for x in vertices}
+        for path in paths.values():
+            while kind(path[-1]) == "MERGEABLE" and len(path) <= most:
+                path.append(after[path[-1]][0])
+        found = G.walks(df, most).collect()
+        assert len(found) == len(paths)
+        assert {x.vertex: (x.last, x.steps, x.type) for x in found} == {x: (p[-1], len(p) - 1, kind(p[-1])) for x, p in paths.items()}
+
+
+def test_ended_walks_share_no_key(spark):
+    df = spark.createDataFrame([(0, 2, 10, 5), (3, 1, 10, 5)], "u long, v long, l int, ol int")
+    for frame in (G.walks(df, 2), G.end_types(df)):
+        assert "LeftOuter" not in frame._jdf.queryExecution().optimizedPlan().toString()
