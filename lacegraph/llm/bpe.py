@@ -32,17 +32,29 @@ _JOINED = re.compile(r"\s (?:\s|\Z)")
 
 
 class Recent(dict):
-    """A dictionary that makes missing values; it keeps the last two generations of ``most`` entries."""
+    """A dictionary that makes missing values and keeps them from the second time on, as most keys come once; it holds the
+    last two generations of ``most`` entries.
+
+    A byte for each hash tells what came before: keys that share one are kept a time early, which changes no value.
+    """
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.places = make, most, (1 << (8 * most).bit_length()) - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.came = {}, bytearray(self.places + 1)
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
-            got = self.make(key)
+            got, at = self.make(key), hash(key) & self.places
+            if not self.came[at]:
+                self.came[at] = 1
+                return got
         if len(self) >= self.most:
-            self.old = dict(self)
+            self.old, self.came = dict(self), bytearray(self.places + 1)
             self.clear()
         self[key] = got
         return got
@@ -78,9 +90,8 @@ class Codec:
 
     def forget(self) -> None:
         """Free the tables of words and pieces."""
-        for table in (self.words, self.pieces):
-            table.clear()
-            table.old = {}
+        self.words.forget()
+        self.pieces.forget()
 
     def encode_word(self, word: str) -> bytes:
         """The packed ids of a space and the word after it."""

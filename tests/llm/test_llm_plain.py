@@ -47,6 +47,18 @@ def test_bpe_tables_may_start_anew(codec, library, monkeypatch):
         assert small.encode(t).tolist() == library.encode_ordinary(t)
 
 
+def test_bpe_tables_hold_no_word_that_comes_once(codec):
+    fresh = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    words = [f"word{i}x" for i in range(5000)]
+    fresh.encode("a " + " ".join(words))
+    once = len(fresh.words)
+    fresh.encode("a " + " ".join(words[:100]))
+    assert once < 50 and 100 <= len(fresh.words) < 150
+    assert all(fresh.words[w] == codec.encode_word(w) for w in words)
+    fresh.forget()
+    assert not fresh.words and not fresh.words.old and not any(fresh.words.came)
+
+
 def test_token_counts_split_safely():
     count = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(3)
